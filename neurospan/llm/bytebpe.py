@@ -144,7 +144,7 @@ def load(path: str, pattern: str) -> tuple[ByteBpe, WordCoder]:
 
 
 def ids_of(text: str, path: str, pattern: str) -> list[int]:
-    return np.frombuffer(load(path, pattern)[1].ids(text), "<i4").tolist()
+    return np.frombuffer(load(path, pattern)[1].batch([text])[0], "<i4").tolist()
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +153,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, coder = load(path, pattern)
         for b in batches:
-            raw = [coder.ids(t.as_py() or "") for t in b.column(1)]
+            raw = coder.batch([t or "" for t in b.column(1).to_pylist()])
             ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["id", "ids"])

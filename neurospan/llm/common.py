@@ -65,14 +65,14 @@ _TAIL = ",.!|&$#*%"
 
 
 class Memo:
-    """Values (bytes) of words that a worker has met, in two generations of at most `most` words each.
+    """Values (bytes) of keys that a worker has met, in two generations of at most `most` keys each.
 
-    make(words) gives the values of new ones. A word with marks after it has the word's value and then the marks'.
+    make(keys) gives the values of new ones. A word with marks after it has the word's value and then
+    that of mark + the marks.
     """
 
-    def __init__(self, make, most: int = 300_000, tails=None):
-        self.make, self.most = make, most
-        self.tails = tails  # for the marks after words
+    def __init__(self, make, mark: str, most: int = 400_000):
+        self.make, self.mark, self.most = make, mark, most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -81,64 +81,90 @@ class Memo:
         if None in got:
             missing = [i for i, v in enumerate(got) if v is None]
             self._learn({keys[i] for i in missing})
+            new = self.new
             for i in missing:
-                got[i] = self.new[keys[i]]
-            if len(self.new) > self.most:
-                self.old, self.new = self.new, {}
+                got[i] = new[keys[i]]
+            if len(new) > self.most:
+                self.old, self.new = new, {}
         return got
 
-    def _learn(self, words: set[str]) -> None:
-        ask, joint = [], []
-        for k in words:
-            if (v := self.old.get(k)) is not None:
-                self.new[k] = v
+    def _learn(self, keys: set[str]) -> None:
+        new, old, mark = self.new, self.old, self.mark
+        ask, joint = set(), []
+
+        def look(k: str) -> None:
+            if k not in new:
+                if (v := old.get(k)) is not None:
+                    new[k] = v
+                else:
+                    ask.add(k)
+
+        for k in keys:
+            if (v := old.get(k)) is not None:
+                new[k] = v
             elif len(b := k.rstrip(_TAIL)) < len(k) and b and b[-1].lower().isalpha():
-                joint.append((k, b))
+                joint.append((k, b, mark + k[len(b) :]))
             else:
-                ask.append(k)
-        bases = {b for _, b in joint if b not in self.new}
-        for b in bases:
-            if (v := self.old.get(b)) is not None:
-                self.new[b] = v
-        ask = list(dict.fromkeys([*ask, *(b for b in bases if b not in self.new)]))
+                ask.add(k)
+        for _, b, tail in joint:
+            look(b)
+            look(tail)
         if ask:
-            self.new.update(zip(ask, self.make(ask)))
-        if joint:
-            self.tails = self.tails or Memo(self.make, 10_000)
-            tails = self.tails.values_of([k[len(b) :] for k, b in joint])
-            for (k, b), t in zip(joint, tails):
-                self.new[k] = self.new[b] + t
+            asked = list(ask)
+            new.update(zip(asked, self.make(asked)))
+        for k, b, tail in joint:
+            new[k] = new[b] + new[tail]
 
 
 class WordCoder:
     """Token ids of whole texts, word by word, as little-endian 32-bit bytes.
 
-    encode(texts) gives the ids of each text. Where single blanks and line feeds are the only white
-    space, no pre-token crosses from one word to the next, so words are encoded apart and remembered:
-    the first of a line as it is, others with the blank before them. Other texts are encoded whole.
-    With blanks=False white space leaves no ids.
+    Where single blanks and line feeds are the only white space, no pre-token crosses from one word to
+    the next, so words are encoded apart and remembered. Keys are words with the blank before them left
+    out, with their line feed, or, as a text's first, with a tab. Other texts are encoded whole. With
+    blanks=False white space leaves no ids, and keys are the words.
+
+    encode(texts) gives the ids of each text; encode_words(words) those of words after a blank.
     """
 
+    GROUP_CHARS = 1 << 20  # texts are looked up together up to about so many characters
+
     def __init__(self, encode, blanks: bool, encode_words=None):
         self.encode, self.blanks = encode, blanks
-        self.first = Memo(encode if blanks else (encode_words or encode), 100_000 if blanks else 300_000)
-        self.spaced = Memo(encode_words or (lambda words: encode([" " + w for w in words])), tails=self.first)
-        self.line_feed = encode(["\n"])[0] if blanks else b""
-
-    def ids(self, text: str) -> bytes:
-        words = text.split()
-        if " ".join(words) != text.replace("\n", " "):
-            return self.encode([text])[0]
-        if not self.blanks:
-            return b"".join(self.first.values_of(words))
-        if not words:
-            return b""
-        out: list[bytes] = []
-        lines = [line.split(" ") for line in text.split("\n")]
-        firsts = self.first.values_of([x[0] for x in lines])
-        for k, line in enumerate(lines):
-            if k:
-                out.append(self.line_feed)
-            out.append(firsts[k])
-            out += self.spaced.values_of(line[1:])
-        return b"".join(out)
+        self.words = encode_words or (lambda words: encode([" " + w for w in words]))
+        self.memo = Memo(self._make, "\t" if blanks else "")
+
+    def _make(self, keys: list[str]) -> list[bytes]:
+        bare = [k for k in keys if k[0] not in "\t\n"] if self.blanks else keys
+        got = dict(zip(bare, self.words(bare))) if bare else {}
+        rest = [k for k in keys if k not in got]
+        if rest:
+            got.update(zip(rest, self.encode([k.removeprefix("\t") for k in rest])))
+        return [got[k] for k in keys]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        keys: list[str] = []
+        spans: list[tuple[int, int, int]] = []
+        chars = 0
+        for i, text in enumerate(texts):
+            words = text.split()
+            if not words or " ".join(words) != text.replace("\n", " "):
+                out[i] = self.encode([text])[0] if text else b""
+                continue
+            if self.blanks:
+                words = text.replace("\n", " \n").split(" ")
+                words[0] = "\t" + words[0]
+            spans.append((i, len(keys), len(keys) + len(words)))
+            keys += words
+            chars += len(text)
+            if chars >= self.GROUP_CHARS:
+                self._flush(keys, spans, out)
+                keys, spans, chars = [], [], 0
+        self._flush(keys, spans, out)
+        return out
+
+    def _flush(self, keys, spans, out) -> None:
+        values = self.memo.values_of(keys)
+        for i, a, b in spans:
+            out[i] = b"".join(values[a:b])

@@ -178,9 +178,9 @@ def hf_coder(path: str) -> WordCoder:
     return WordCoder(apart, blanks=suffix is None, encode_words=words)
 
 
-def hf_ids(text: str, path: str) -> bytes:
-    """Ids of a whole text as little-endian unsigned 32-bit integers."""
-    return hf_coder(path).ids(text)
+def hf_ids(texts: list[str], path: str) -> list[bytes]:
+    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    return hf_coder(path).batch(texts)
 
 
 def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", unit: str = "byte", block: int = BLOCK, shards: int | None = None) -> list[dict]:
@@ -201,14 +201,14 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: s
         writer = out = name = None
         fs = None
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for i, raw in zip(b.column(0).to_pylist(), hf_ids(b.column(1).to_pylist(), tokenizer)):
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(fs_path)
                     fs.create_dir(base, recursive=True)
                     name = f"{base}/ids-{uuid.uuid4().hex}.idp"
                     out = fs.open_output_stream(name)
                     writer = ShardWriter(out, block, unit)
-                writer.add(i, hf_ids(t.as_py(), tokenizer) + end)
+                writer.add(i, raw + end)
         if writer:
             writer.close()
             out.close()
