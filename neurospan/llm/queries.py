@@ -61,6 +61,70 @@ def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, manifest, digest=True)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into sequences of 2048 tokens."""
+    from .packing import pack_documents
+
+    got = pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of all conversations: prompt turns once, completions with masks and places."""
+    from .chat import format_preferences, pairs_from
+
+    got = format_preferences(pairs_from(table(spark, sf_dir, "conversations")))
+    return got.select(F.col("pair").alias("conv_id"), "part", "turn", "role", "segment", "learned", "start", "length")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and for ids divisible by 50 the fingerprints nearby.
+
+    n_within: documents whose fingerprint is within 3 bits of the row's, itself included; null for other ids.
+    """
+    from .common import materialize
+    from .simhash import counts_within, edited_fingerprints, hexed, likeness
+
+    got = materialize(edited_fingerprints(table(spark, sf_dir, "documents")))
+    asked = F.col("doc_id") % 50 == 0
+    near = counts_within(got, asked).withColumn("asked", F.lit(True))
+    got = got.withColumn("asked", asked).join(near, ["fingerprint", "asked"], "left")
+    return got.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        hexed("fingerprint").alias("fingerprint"),
+        hexed("edited_fingerprint").alias("edited_fingerprint"),
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        "n_within",
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a model of the rows that aren't held out."""
+    from .toxicity import fit, is_held_out, score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    got = score_texts(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's language, from its text, its declaration and its address."""
+    from .langid import fit, identify
+
+    pages = table(spark, sf_dir, "pages")
+    return identify(pages, fit(table(spark, sf_dir, "documents")), "page_id", "html", url=F.col("url"), markup=True)
+
+
 #: DuckDB SQL. Words as op2 cuts them; a notice is a pattern over the words, each between blanks.
 _WORDS = r"""
  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -98,7 +162,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_ba
 FROM found"""
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_media, op4_byte_bpe, op6_token_planes)}
+QUERIES = {f.__name__: f for f in (op1_preferences, op2_license_scan, op3_media, op4_byte_bpe, op5_near_duplicates, op6_token_planes, op7_simhash, op8_packing, op9_toxicity, op10_language)}
 ORACLES = {"op2_license_scan": _op2_sql}
 
 
