@@ -6,11 +6,14 @@ all bins are full. A coordinate is the least value in its bin, and two sets agre
 probability of their Jaccard similarity (concentrated as with independent values).
 
 Equal sets form a class that its smallest id stands for; only representatives are banded. In a band's
-bucket each representative is linked with the bucket's first and the one before it, which joins
-groups of copies in linear work. Then only buckets with several components are looked at again: small
-ones by all pairs between components, bounded by SMALL_BUCKET a row; the representatives of larger ones
-by an exact prefix join (rarest shingles first), which no bucket size limits. With 32 bands of 4
-coordinates a link at similarity 0.75 fails to meet in any bucket with probability 5e-6.
+bucket each representative is linked with three others: the first, the one before it, and the hub, whose
+buckets hold most rows; a text that many were copied from is the hub of theirs. That joins groups of
+copies in linear work. Then only buckets with several components are looked at again: small ones by all
+pairs between components, bounded by SMALL_BUCKET a row; the representatives of larger ones by an exact
+prefix join (rarest shingles first), which no bucket size limits. Pairs whose sets can't be similar are
+dropped beforehand by two exact bounds, of sizes and of parity marks: sets toggle PARITY bits by their
+shingles, and no more bits differ than the sets have shingles apart. With 32 bands of 4 coordinates a
+link at similarity 0.75 fails to meet in any bucket with probability 5e-6.
 
 Rows without an id are linked with nothing and kept; rows that share an id share its result.
 """
@@ -31,6 +34,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 PERCENT = 75
 SMALL_BUCKET = 32
+PARITY = 1024
 _U = np.uint64
 
 
@@ -103,8 +107,16 @@ def band_keys(sketches: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def parity_marks(flat: np.ndarray, bounds: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """Signed 64-bit words of each set's parity bits."""
+    n = len(bounds) - 1
+    at = np.repeat(np.arange(n), np.diff(bounds)) * bits + (flat & _U(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+
+
 def _signatures(df: DataFrame) -> DataFrame:
-    """(id, n, k1, k2, bands): set size, 128-bit key of the whole set, band keys."""
+    """(id, n, k1, k2, bands, marks): set size, 128-bit key of the whole set, band keys, parity marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,9 +128,11 @@ def _signatures(df: DataFrame) -> DataFrame:
             keys = band_keys(sketch(flat, bounds))
             offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[sizes > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(k1), pa.array(k2), bands], names=["id", "n", "k1", "k2", "bands"])
+            words = parity_marks(flat, bounds)
+            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(k1), pa.array(k2), bands, marks], names=["id", "n", "k1", "k2", "bands", "marks"])
 
-    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>")
+    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, marks array<long>")
 
 
 def _sets(df: DataFrame) -> DataFrame:
@@ -142,10 +156,13 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.where(100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _sizes_allow(n: str, m: str):
-    """Without this no intersection can suffice."""
+def _may(n: str, m: str, p: str, q: str):
+    """Without this no intersection can suffice: sizes are near enough, and parity marks don't differ in too many bits."""
     small, large = F.least(n, m), F.greatest(n, m)
-    return 100 * small >= PERCENT * large
+    both = F.col(n) + F.col(m)
+    apart = both - 2 * F.floor((PERCENT * both + 99 + PERCENT) / (100 + PERCENT))
+    bits = sum((F.bit_count(F.col(p)[k].bitwiseXOR(F.col(q)[k])) for k in range(PARITY // 64)), F.lit(0))
+    return (100 * small >= PERCENT * large) & (bits <= apart)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,17 +184,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs between components among rest (id, n, label) that share a shingle of their prefixes, rarest shingles first.
+    """Pairs between components among rest (id, n, marks, label) that share a shingle of their prefixes, rarest shingles first.
 
     Sets of n and m with the similarity share one among the n - ceil(0.75 n) + 1 first of either in any common order.
     """
     tokens = rest.join(sets, "id").select("id", "n", "label", F.explode("set").alias("token"))
-    freq = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    freq = tokens.groupBy("token").agg(F.count("*").alias("f"), (F.min("label") != F.max("label")).alias("mixed")).where("f > 1")
     order = Window.partitionBy("id").orderBy("f", "token")
     placed = tokens.join(freq, "token", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("r", F.row_number().over(order))
-    prefix = placed.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1) & (F.col("f") > 1)).select("id", "n", "label", "token")
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), "token")
-    return prefix.withColumnRenamed("id", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _sizes_allow("n", "m")).select("a", "b").distinct()
+    prefix = placed.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1) & F.col("mixed")).select("id", "n", "label", "token").join(rest.select("id", "marks"), "id")
+    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("marks").alias("q"), "token")
+    return prefix.withColumnRenamed("id", "a").join(other, (prefix.token == other.token) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _may("n", "m", "marks", "q")).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,28 +203,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = materialize(_signatures(texts))
     some = signed.where("n > 0 AND id IS NOT NULL")
     classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     bucket = Window.partitionBy("band", "key")
-    running = bucket.orderBy("rep", "n")
-    met = rows.select("rep", "n", "band", "key", F.count("*").over(bucket).alias("size"), F.first("rep").over(running).alias("first"), F.first("n").over(running).alias("first_n"), F.lag("rep").over(running).alias("last"), F.lag("n").over(running).alias("last_n"))
+    running = bucket.orderBy("rep")
+    met = rows.select("rep", "band", "key", F.count("*").over(bucket).alias("size"), F.first("rep").over(running).alias("first"), F.lag("rep").over(running).alias("last"))
     met = materialize(met.where("size > 1"))
+    hub = met.groupBy("rep").agg(F.sum("size").alias("reach"))
+    hubs = met.select("rep", "band", "key").join(hub, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("reach", "rep")).alias("hub"))
+    info = materialize(signed.select(F.col("id").alias("rep"), "n", "marks").join(met.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
+    left, right = info.select(F.col("rep").alias("a"), "n", F.col("marks").alias("p")), info.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("marks").alias("q"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "a").join(right, "b").where(_may("n", "m", "p", "q")).select("a", "b")
 
-    star = F.array(F.struct(F.col("first").alias("a"), F.col("first_n").alias("m")), F.struct(F.col("last").alias("a"), F.col("last_n").alias("m")))
-    pairs = met.where("last IS NOT NULL").select("rep", "n", F.inline(star)).where((F.col("a") != F.col("rep")) & _sizes_allow("n", "m"))
-    pairs = materialize(pairs.select("a", F.col("rep").alias("b")).distinct())
+    ordered = lambda x: F.struct(F.least(x, "rep").alias("a"), F.greatest(x, "rep").alias("b"))
+    star = met.join(hubs, ["band", "key"]).select(F.inline(F.array(ordered("first"), ordered("last"), ordered("hub")))).where("a != b").distinct()
+    pairs = materialize(possible(star))
     ids = met.select(F.col("rep").alias("id")).distinct()
     sets = materialize(_sets(texts.join(ids.hint("shuffle_hash"), "id", "left_semi")))
     edges = materialize(_similar(pairs, sets))
     labels = components(edges)
 
     # buckets that hold several components still
-    known = met.select("rep", "n", "band", "key", "size").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    known = met.select("rep", "band", "key", "size").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = known.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "key")
-    open_ = materialize(known.join(mixed, ["band", "key"]))
-    few = open_.where(F.col("size") <= SMALL_BUCKET).select("band", "key", "rep", "n", "label")
-    other = few.select("band", "key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    more = few.withColumnRenamed("rep", "a").join(other, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _sizes_allow("n", "m")).select("a", "b").distinct()
-    rest = open_.where(F.col("size") > SMALL_BUCKET).select(F.col("rep").alias("id"), "n", "label").distinct()
+    open_ = materialize(known.join(mixed, ["band", "key"]).join(info, "rep"))
+    few = open_.where(F.col("size") <= SMALL_BUCKET).select("band", "key", F.col("rep").alias("a"), "n", F.col("marks").alias("p"), "label")
+    other = few.select("band", "key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("label").alias("other"))
+    more = few.join(other, (few.band == other.band) & (few.key == other.key) & (F.col("a") < F.col("b")) & (few.label != F.col("other")) & _may("n", "m", "p", "q")).select("a", "b").distinct()
+    rest = open_.where(F.col("size") > SMALL_BUCKET).select(F.col("rep").alias("id"), "n", "marks", "label").dropDuplicates(["id"])
     todo = more.union(_rest_pairs(rest, sets)).distinct().join(pairs, ["a", "b"], "left_anti")
     found = materialize(_similar(todo, sets))
     if found.limit(1).count():
