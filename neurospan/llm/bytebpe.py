@@ -153,7 +153,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, coder = load(path, pattern)
         for b in batches:
-            raw = coder.batch([t or "" for t in b.column(1).to_pylist()])
+            raw = coder.batch(b.column(1))
             ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["id", "ids"])

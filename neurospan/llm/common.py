@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,9 @@ def whole(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: White space other than single blanks and line feeds between words (RE2).
+_ODD = r"[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|^[ \n]|[ \n]$"
+
 #: Marks that always begin a pre-token of their own after a letter.
 _TAIL = ",.!|&$#*%"
 
@@ -71,16 +77,17 @@ class Memo:
     that of mark + the marks.
     """
 
-    def __init__(self, make, mark: str, most: int = 400_000):
+    def __init__(self, make, mark: str, most: int = 500_000):
         self.make, self.mark, self.most = make, mark, most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def values_of(self, keys: list[str]) -> list[bytes]:
+        """Values of distinct keys."""
         got = list(map(self.new.get, keys))
         if None in got:
             missing = [i for i, v in enumerate(got) if v is None]
-            self._learn({keys[i] for i in missing})
+            self._learn([keys[i] for i in missing])
             new = self.new
             for i in missing:
                 got[i] = new[keys[i]]
@@ -88,7 +95,7 @@ class Memo:
                 self.old, self.new = new, {}
         return got
 
-    def _learn(self, keys: set[str]) -> None:
+    def _learn(self, keys: list[str]) -> None:
         new, old, mark = self.new, self.old, self.mark
         ask, joint = set(), []
 
@@ -99,10 +106,10 @@ class Memo:
                 else:
                     ask.add(k)
 
-        for k in keys:
-            if (v := old.get(k)) is not None:
+        for k, v in zip(keys, map(old.get, keys)):
+            if v is not None:
                 new[k] = v
-            elif len(b := k.rstrip(_TAIL)) < len(k) and b and b[-1].lower().isalpha():
+            elif not k.isalpha() and len(b := k.rstrip(_TAIL)) < len(k) and b and b[-1].lower().isalpha():
                 joint.append((k, b, mark + k[len(b) :]))
             else:
                 ask.add(k)
@@ -127,7 +134,8 @@ class WordCoder:
     encode(texts) gives the ids of each text; encode_words(words) those of words after a blank.
     """
 
-    GROUP_CHARS = 1 << 20  # texts are looked up together up to about so many characters
+    GROUP_BYTES = 1 << 22  # texts are cut into words together up to about so many bytes
+    SLICE_WORDS = 1 << 19  # ids of so many words are gathered at once
 
     def __init__(self, encode, blanks: bool, encode_words=None):
         self.encode, self.blanks = encode, blanks
@@ -142,29 +150,44 @@ class WordCoder:
             got.update(zip(rest, self.encode([k.removeprefix("\t") for k in rest])))
         return [got[k] for k in keys]
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        keys: list[str] = []
-        spans: list[tuple[int, int, int]] = []
-        chars = 0
-        for i, text in enumerate(texts):
-            words = text.split()
-            if not words or " ".join(words) != text.replace("\n", " "):
-                out[i] = self.encode([text])[0] if text else b""
-                continue
-            if self.blanks:
-                words = text.replace("\n", " \n").split(" ")
-                words[0] = "\t" + words[0]
-            spans.append((i, len(keys), len(keys) + len(words)))
-            keys += words
-            chars += len(text)
-            if chars >= self.GROUP_CHARS:
-                self._flush(keys, spans, out)
-                keys, spans, chars = [], [], 0
-        self._flush(keys, spans, out)
+    def batch(self, texts: pa.Array | list) -> list[bytes]:
+        """Ids of each text; null counts as empty."""
+        texts = pc.fill_null(pa.array(texts, pa.string()), "")
+        out: list[bytes] = []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + self.GROUP_BYTES)))
+            out += self._group(texts.slice(a, b - a))
+            a = b
         return out
 
-    def _flush(self, keys, spans, out) -> None:
-        values = self.memo.values_of(keys)
-        for i, a, b in spans:
-            out[i] = b"".join(values[a:b])
+    def _group(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(texts, ""))
+        plain = texts.filter(pc.invert(odd))
+        parts = iter(self._plain(plain)) if len(plain) else iter(())
+        return [(self.encode([t.as_py()])[0] if len(t.as_py()) else b"") if o else next(parts) for t, o in zip(texts, odd.to_pylist())]
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        if self.blanks:
+            texts = pc.binary_join_element_wise("\t", pc.replace_substring(texts, "\n", " \n"), "")
+        else:
+            texts = pc.replace_substring(texts, "\n", " ")
+        words = pc.split_pattern(texts, " ")
+        bounds = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        values = self.memo.values_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[index]
+        at = np.concatenate([[0], np.cumsum(own)])
+        parts = []
+        for a in range(0, len(index), self.SLICE_WORDS):
+            i, n = index[a : a + self.SLICE_WORDS], own[a : a + self.SLICE_WORDS]
+            shift = starts[i] - (np.cumsum(n) - n)
+            parts.append(ids[np.repeat(shift, n) + np.arange(n.sum())].tobytes())
+        raw = b"".join(parts)
+        cuts = (4 * at[bounds - bounds[0]]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]

@@ -164,7 +164,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            coded = hf_ids([t or "" for t in b.column(1).to_pylist()], tokenizer)
+            coded = hf_ids(b.column(1), tokenizer)
             for i, raw in zip(b.column(0).to_pylist(), coded):
                 raw += end
                 n = len(raw) // 4

@@ -178,7 +178,7 @@ def hf_coder(path: str) -> WordCoder:
     return WordCoder(apart, blanks=suffix is None, encode_words=words)
 
 
-def hf_ids(texts: list[str], path: str) -> list[bytes]:
+def hf_ids(texts: pa.Array | list, path: str) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
     return hf_coder(path).batch(texts)
 
@@ -201,7 +201,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: s
         writer = out = name = None
         fs = None
         for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), hf_ids(b.column(1).to_pylist(), tokenizer)):
+            for i, raw in zip(b.column(0).to_pylist(), hf_ids(b.column(1), tokenizer)):
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(fs_path)
                     fs.create_dir(base, recursive=True)
