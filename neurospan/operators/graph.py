@@ -139,7 +139,9 @@ def prune_close(points: DataFrame, radius: float, seed: int = 0) -> DataFrame:
         first = settle(left.groupBy(F.col("a").alias("id")).agg(F.min(h("b")).alias("least")).where(h("id") < F.col("least")).select("id"))
         kept = kept.union(first)
         gone = settle(first.union(left.join(first.select(F.col("id").alias("b")), "b", "left_semi").select("a")).distinct())
+        there = left.select(F.col("a").alias("id")).distinct().join(gone, "id", "left_anti")
         left = settle(left.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"))
+        kept = kept.union(there.join(left.select(F.col("a").alias("id")), "id", "left_anti"))  # all near ones have gone
     return points.join(kept.distinct(), "id", "left_semi")
 
 

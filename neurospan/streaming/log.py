@@ -24,7 +24,12 @@ def kafka_lines(spark: SparkSession, servers: str, topic: str, offsets: str = "e
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a Parquet path as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    schema = spark.read.parquet(path).schema
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
 def parsed(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
