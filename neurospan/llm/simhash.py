@@ -116,8 +116,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = rows.select("id", F.struct(F.xxhash64("text").alias("pick"), F.length("text").alias("n")).alias("own")).groupBy("id").agg(F.min("own").alias("own"))
     slim = materialize(slim.select("id", "own.pick", F.col("own.n").cast("long").alias("n_chars")))
     ring = materialize(successors(slim.select("id"), "id"))
-    wanted = ring.join(slim, "id").select(F.col("next").alias("id"), F.col("id").alias("prev"), F.floor(F.col("n_chars") / 4).cast("int").alias("want"))
-    dealt = rows.repartition("id").join(slim, "id").where(F.xxhash64("text") == F.col("pick")).select("id", "text")
+    wanted = ring.join(slim.hint("merge"), "id").select(F.col("next").alias("id"), F.col("id").alias("prev"), F.floor(F.col("n_chars") / 4).cast("int").alias("want"))
+    # an XOR, because an equality would become a join key, and texts be dealt by it as well as by id
+    dealt = rows.join(slim.hint("merge"), "id").where(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0).select("id", "text")
     heads = dealt.join(wanted, "id").select(F.col("prev").alias("id"), F.substring("text", F.lit(1), F.col("want")).alias("head"))
     size = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), size - F.floor(size / 4).cast("int")), F.col("head"))
@@ -128,7 +129,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = prints.groupBy("id").agg(F.min("n_chars").alias("n_chars"), F.min("sha").alias("edited_sha256"), *(F.min(F.when(F.col("kind") == k, F.col("fingerprint"))).alias(n) for k, n in ((0, "fingerprint"), (1, "edited_fingerprint"))))
     one = materialize(one)
     after = one.select(F.col("id").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
-    return one.join(ring, "id").join(after, "next").select(F.col("id").alias(id_col), "next", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
+    return one.join(ring.hint("merge"), "id").join(after.hint("merge"), "next").select(F.col("id").alias(id_col), "next", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
 
 
 def counts_within(prints: DataFrame, wanted: Column, radius: int = 3) -> DataFrame:
