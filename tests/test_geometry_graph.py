@@ -124,3 +124,42 @@ def test_tags(spark):
     codes, names = annotations.tag_codes(df, ["t", "u", "f"])
     by = {r.code: r.tag for r in names.collect()}
     assert {r.segment: sorted(by[c] for c in r.codes) for r in codes.collect()} == {1: ["a_b", "f", "u:x"], 2: ["t:x"], 3: []}
+
+
+def test_volume_operators(spark):
+    from neurospan.operators import volume
+
+    lab = {(0, y, x): 1 if 1 <= y <= 5 and 1 <= x <= 5 and not (y == 3 and x == 3) else 2 if x >= 8 else 0 for y in range(7) for x in range(10)}
+    lab[(0, 6, 6)] = 1
+    df = spark.createDataFrame([(*k, v) for k, v in lab.items()], "z int, y int, x int, label int")
+    comp = volume.label_components(df).groupBy("label", "component").count().collect()
+    assert sorted((r.label, r["count"]) for r in comp) == [(1, 1), (1, 24), (2, 14)]
+    erased = volume.erase_islands(df)
+    assert erased.where("label = 1").count() == 24 and erased.count() == 70
+    split, pieces = volume.split_bodies(df)
+    assert sorted(tuple(r) for r in pieces.collect()) == [(1, 1), (3, 1)] and split.where("label = 3").count() == 1
+    mask = df.where("label = 1 AND y < 6").select("z", "y", "x")
+    solid = spark.createDataFrame([(z, y, x) for z in range(3) for y in range(3) for x in range(3) if (z, y, x) != (1, 1, 1)], "z int, y int, x int")
+    assert volume.fill_holes(solid, {a: (0, 3) for a in "zyx"}).count() == 27
+    assert volume.mask_downsample(mask, 2).count() == 9 and volume.mask_downsample(solid, 3, "and").count() == 0
+    assert volume.closest_approach(df.where("y < 6"), 1, 2).first().d == 3.0
+    assert volume.ellipsoid(spark, (0, 0, 0), (1, 1, 1)).count() == 7
+    t = volume.thickest_point(df.where("y < 6"), 5).where("label = 2").first()
+    assert (t.x, t.distance) == (9, 2)
+
+
+def test_store_tables(spark):
+    from neurospan.sources import store
+
+    kv = spark.createDataFrame([("a", [1, 2]), ("b", [3])], "key string, value array<int>")
+    more = spark.createDataFrame([("a", [2, 5]), ("c", [7])], "key string, value array<int>")
+    assert rows(store.extend_lists(kv, more)) == [("a", [1, 2, 5]), ("b", [3]), ("c", [7])]
+    assert rows(store.upsert(kv, more)) == [("a", [2, 5]), ("b", [3]), ("c", [7])]
+    vers = spark.createDataFrame([("leaf", 0), ("mid", 1), ("root", 2)], "node string, depth int")
+    data = spark.createDataFrame([(1, "root", False), (1, "mid", True), (2, "root", False), (3, "other", False)], "k int, uuid string, deleted boolean")
+    assert rows(store.current(data, vers, ["k"])) == [("root", 2)] or rows(store.current(data, vers, ["k"]).select("k")) == [(2,)]
+    files = spark.createDataFrame([(1, "x.swc", bytearray(b"ab")), (1, "y.obj", bytearray(b"c"))], "body long, name string, data binary")
+    assert [(r.name, bytes(r.data)) for r in store.untar_files(store.tar_files(files), suffix=".swc").collect()] == [("x.swc", b"ab")]
+    mapping = spark.createDataFrame([(1, 9), (2, 9)], "sv long, body long")
+    assert rows(store.supervoxels_of(mapping, spark.createDataFrame([(9,), (4,)], "body long"))) == [(4, 4), (9, 1), (9, 2)]
+    assert rows(store.mapping_batches(mapping, 1)) == [(9, 0, [1]), (9, 1, [2])]
