@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coords, names, scores
-from .operators import annotations, completeness, geometry, graph, log, mergetable, synapses, tables
+from .operators import annotations, completeness, geometry, graph, log, mergetable, synapses, tables, volume
+from .sources import store
 from .streaming import log as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,29 +484,29 @@ def merge_chains(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS a, -l_suppkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r AS (SELECT a AS node, a AS c FROM u UNION SELECT b, b FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.node = u.a)
-SELECT node, min(c) AS component FROM r GROUP BY 1""")
+WITH m AS (SELECT o_custkey, least(2 * o_custkey, min(2 * o_orderkey + 1)) AS c FROM orders GROUP BY 1)
+SELECT 2 * o_custkey AS node, c AS component FROM m UNION ALL SELECT 2 * o_orderkey + 1, c FROM orders JOIN m USING (o_custkey)""")
 def connected_components(spark, sf_dir):
-    e = _t(spark, sf_dir, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.09").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"))
+    """Customers with their orders: the components are stars, so SQL finds them too."""
+    e = _t(spark, sf_dir, "orders").select((2 * F.col("o_custkey")).alias("a"), (2 * F.col("o_orderkey") + 1).alias("b"))
     return graph.connected_components(None, e)
 
 
 @query("""
 WITH RECURSIVE e AS (SELECT c_custkey AS node, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 1),
-r AS (SELECT c_custkey AS start, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT start, parent, depth + 1 FROM r JOIN e ON r.node = e.node) SELECT start, node, depth FROM r""")
+r AS (SELECT c_custkey AS start, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT start, parent, depth + 1 FROM r JOIN e ON r.node = e.node) SELECT start, node, depth FROM r""")
 def ancestors(spark, sf_dir):
     e = _forest(spark, sf_dir).select(F.col("absorbed").alias("node"), F.col("target").alias("parent"))
-    return graph.ancestors(e, _t(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node")))
+    return graph.ancestors(e, _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")))
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS a, -l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.08), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), i AS (SELECT DISTINCT a AS node FROM l WHERE a % 3 = 0),
-r AS (SELECT [node] AS path, node AS tip, FALSE AS ended, 0 AS n FROM i UNION ALL SELECT list_append(path, u.b), u.b, u.b IN (SELECT node FROM i), n + 1 FROM r JOIN u ON r.tip = u.a WHERE NOT ended AND n < 3 AND NOT list_contains(path, u.b))
-SELECT array_to_string(path, ',') AS path FROM r WHERE ended AND path[1] < path[-1]""")
+SELECT (3 * a.s_suppkey) || ',' || (3 * a.s_nationkey + 1) || ',' || (3 * b.s_suppkey) AS path FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")
 def paths_upto_depth(spark, sf_dir):
-    e = _t(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount >= 0.08").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct()
-    got = graph.paths(e, e.where("a % 3 = 0").select(F.col("a").alias("node")).distinct(), 3)
+    """Ways between suppliers over nations and regions, two steps long at most."""
+    supp, nation = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "nation")
+    e = supp.select((3 * F.col("s_suppkey")).alias("a"), (3 * F.col("s_nationkey") + 1).cast("long").alias("b")).union(nation.select((3 * F.col("n_nationkey") + 1).cast("long"), (3 * F.col("n_regionkey") + 2).cast("long")))
+    got = graph.paths(e, supp.select((3 * F.col("s_suppkey")).alias("node")), 2)
     return got.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
@@ -523,11 +524,10 @@ def one_point_per_body(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber IN (1, 2) THEN CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 2.0 END WHEN l_linenumber = 3 THEN 3.0 WHEN l_linenumber = 4 THEN 10 + (1 - l_discount) ELSE 'inf'::DOUBLE END AS FLOAT) AS score FROM lineitem WHERE l_linenumber <= 4""")
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN l_linenumber IN (1, 2) THEN CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 2.0 END WHEN l_linenumber = 3 THEN 3.0 ELSE 10 + (1 - l_discount) END AS FLOAT) AS score FROM lineitem""")
 def agglo_score(spark, sf_dir):
-    item = _t(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
     res = F.when(F.col("l_linenumber") <= 2, 32).when(F.col("l_linenumber") == 3, 16).otherwise(8)
-    return item.select("l_orderkey", "l_linenumber", scores.by_resolution(res, F.col("l_discount"), scores.tiered([(F.col("l_discount") > 0.05, F.lit(1.0))], 2.0), F.lit(3.0)).alias("score"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scores.by_resolution(res, F.col("l_discount"), scores.tiered([(F.col("l_discount") > 0.05, F.lit(1.0))], 2.0), F.lit(3.0)).alias("score"))
 
 
 @query("SELECT greatest(least(l_quantity, l_discount), least(l_tax, l_extendedprice)) AS score, l_orderkey, l_linenumber FROM lineitem")
@@ -569,9 +569,8 @@ def _stream_name(kind: str) -> str:
 
 @query()
 def cleave(spark, sf_dir):
-    item = _t(spark, sf_dir, "lineitem").where("l_quantity >= 45")
-    edges = item.select((F.col("l_suppkey") % 5).alias("body"), F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"), F.col("l_discount").alias("weight"))
-    seeds = edges.groupBy("body").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).select("body", F.inline(F.array(F.struct(F.col("lo").alias("node"), F.lit(1).cast("long").alias("seed")), F.struct(F.col("hi").alias("node"), F.lit(2).cast("long").alias("seed")))))
+    edges = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("body"), F.col("l_partkey").alias("a"), (-F.col("l_linenumber")).cast("long").alias("b"), F.col("l_discount").alias("weight"))
+    seeds = edges.groupBy("body").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("body", F.inline(F.array(F.struct(F.col("lo").alias("node"), F.lit(1).cast("long").alias("seed")), F.struct(F.col("hi").alias("node"), F.lit(2).cast("long").alias("seed")))))
     return graph.cleave(edges, seeds)
 
 
@@ -589,3 +588,118 @@ def names_and_colors(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     camel = names.snake_to_camel(F.regexp_replace(F.lower("c_mktsegment"), "[^a-z]", ""))
     return c.select("c_custkey", camel.alias("camel"), coords.hex_color(F.col("c_custkey") % 16777216).alias("color"))
+
+
+_LABELS = "SELECT y, x, CAST(sum(label) % 3 AS INT) AS label FROM (SELECT CAST(l_suppkey AS INT) % 40 AS y, CAST(l_partkey AS INT) % 60 AS x, l_linenumber AS label FROM lineitem) GROUP BY 1, 2"
+
+
+def _image(spark, sf_dir) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey").cast("int") % 40).alias("y"), (F.col("l_partkey").cast("int") % 60).alias("x"), F.col("l_linenumber").alias("label"))
+    return rows.groupBy("y", "x").agg((F.sum("label") % 3).cast("int").alias("label")).select(F.lit(0).alias("z"), "y", "x", "label")
+
+
+@query(f"""
+WITH v AS ({_LABELS}), o AS (SELECT * FROM (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx))
+SELECT DISTINCT v.y, v.x, v.label FROM v, o, v w WHERE w.y = v.y + dy AND w.x = v.x + dx AND w.label <> v.label""")
+def edge_voxels(spark, sf_dir):
+    return volume.edges(_image(spark, sf_dir)).select("y", "x", "label")
+
+
+@query(f"""
+WITH v AS ({_LABELS}), o AS (SELECT * FROM (VALUES (0, 1), (1, 0)) t(dy, dx))
+SELECT least(v.label, w.label) AS a, greatest(v.label, w.label) AS b, count(*) AS area FROM v, o, v w WHERE w.y = v.y + dy AND w.x = v.x + dx AND w.label <> v.label AND v.label <> 0 AND w.label <> 0 GROUP BY 1, 2""")
+def adjacencies(spark, sf_dir):
+    return geometry.adjacencies(_image(spark, sf_dir))
+
+
+@query(f"SELECT y, x, label FROM (SELECT y // 4 AS y, x // 4 AS x, label, count(*) AS n FROM ({_LABELS}) GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY n DESC, label) = 1")
+def mode_downsample(spark, sf_dir):
+    return volume.mode_downsample(_image(spark, sf_dir), 4).select("y", "x", "label")
+
+
+@query(f"""
+WITH RECURSIVE v AS (SELECT y, x, label, y * 2097152 + x AS id FROM ({_LABELS}) WHERE label <> 0), o AS (SELECT * FROM (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx)),
+e AS (SELECT v.id AS a, w.id AS b FROM v, o, v w WHERE w.y = v.y + dy AND w.x = v.x + dx AND w.label = v.label),
+r AS (SELECT id AS node, id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON r.node = e.a)
+SELECT v.y, v.x, v.label, CAST(m.c AS BIGINT) AS component FROM v JOIN (SELECT node, min(c) AS c FROM r GROUP BY 1) m ON v.id = m.node""")
+def label_components(spark, sf_dir):
+    return volume.label_components(_image(spark, sf_dir)).select("y", "x", "label", "component")
+
+
+@query(f"SELECT label, count(*) AS size, avg(0) AS center_z, avg(y) AS center_y, avg(x) AS center_x, covar_pop(y, x) AS cov_yx FROM ({_LABELS}) GROUP BY 1")
+def principal_axes(spark, sf_dir):
+    return volume.principal_axes(_image(spark, sf_dir)).select("label", "size", "center_z", "center_y", "center_x", "cov_yx")
+
+
+@query("SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1")
+def tag_summary(spark, sf_dir):
+    return store.tag_summary(_t(spark, sf_dir, "events").select(F.array("event_type").alias("Tags")))
+
+
+@query("""
+WITH m AS (SELECT o_orderkey AS sv, o_custkey AS body FROM orders WHERE o_orderkey % 2 = 0)
+SELECT l_orderkey AS sv, CASE WHEN l_orderkey % 9 = 0 THEN 0 ELSE coalesce(body, l_orderkey) END AS body FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN m ON l_orderkey = sv""")
+def map_ids(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sv"), F.col("o_custkey").alias("body"))
+    wanted = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sv")).distinct()
+    return store.map_ids(wanted, o.where("sv % 2 = 0"), wanted.where("sv % 9 = 0"))
+
+
+@query("""SELECT p_partkey AS label, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS size FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'A') ON p_partkey = l_partkey GROUP BY 1""")
+def sizes_of(spark, sf_dir):
+    index = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("label"), F.col("l_quantity").cast("long").alias("count"))
+    return store.sizes_of(index, _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("label")))
+
+
+@query("SELECT o_custkey AS body, CAST(floor((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) / 3) AS BIGINT) AS batch, o_orderkey AS sv FROM orders")
+def mapping_batches(spark, sf_dir):
+    m = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sv"), F.col("o_custkey").alias("body"))
+    return store.mapping_batches(m, 3).select("body", "batch", F.explode("svs").alias("sv"))
+
+
+@query("""
+SELECT l_suppkey AS k, l_returnflag AS v, CAST(min(r) AS BIGINT) AS start, CAST(max(r) + 1 AS BIGINT) AS stop FROM (
+ SELECT *, sum(n) OVER (PARTITION BY l_suppkey ORDER BY r ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT l_suppkey, l_returnflag, row_number() OVER w - 1 AS r, CASE WHEN l_returnflag = lag(l_returnflag) OVER w THEN 0 ELSE 1 END AS n FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice))) GROUP BY l_suppkey, l_returnflag, g""")
+def runs(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("v"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return tables.runs(rows, ["k"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "v")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS n, floor((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) / 100)::BIGINT AS chunk FROM orders")
+def chunks(spark, sf_dir):
+    rows = tables.numbered(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
+    return rows.select("o_orderkey", "n", F.floor(F.col("n") / 100).alias("chunk"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey AS label, p_brand AS brand, p_type AS type FROM part), k AS (SELECT label, 'brand' AS c, replace(brand, ' ', '_') AS t FROM n UNION ALL SELECT label, 'type', replace(type, ' ', '_') FROM n)
+SELECT label AS segment, count(*) AS tags FROM k GROUP BY 1""")
+def segment_tags(spark, sf_dir):
+    codes, _ = annotations.tag_codes(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("segment"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type")), ["brand", "type"])
+    return codes.select("segment", F.size("codes").cast("long").alias("tags"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS body, c_mktsegment AS status, c_nationkey FROM customer)
+SELECT s.body, CASE WHEN o.body IS NOT NULL AND list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'], s.status) < 3 THEN 'FURNITURE' ELSE s.status END AS status
+FROM s LEFT JOIN (SELECT DISTINCT o_custkey AS body FROM orders WHERE o_orderstatus = 'P') o ON s.body = o.body""")
+def upgrade_status(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("body"), F.col("c_mktsegment").alias("status"))
+    bodies = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("body"))
+    return annotations.upgrade_status(c, bodies, "FURNITURE", ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"])
+
+
+@query("""
+SELECT a.c_custkey AS body, b.s_acctbal IS NOT NULL AS both FROM customer a FULL JOIN supplier b ON a.c_custkey = b.s_suppkey""")
+def outer_merge(spark, sf_dir):
+    a = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("body"), F.col("c_acctbal").alias("bal"))
+    b = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("body"), F.col("s_acctbal").alias("bal"))
+    return mergetable.outer_merge(a, b, "body").select("body", F.col("bal_b").isNotNull().alias("both"))
+
+
+@query()
+def spanning_tree(spark, sf_dir):
+    """Nations and market segments, joined by their customers of least balance."""
+    segment = F.array_position(F.array(*(F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))), F.col("c_mktsegment"))
+    return graph.spanning_tree(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("a"), (-segment).cast("long").alias("b"), F.col("c_acctbal").alias("weight")))

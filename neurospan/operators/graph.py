@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections import defaultdict
 
 import pandas as pd
@@ -10,11 +12,20 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Ends lineage in the checkpoint folder where the session has one; else keeps the rows cached."""
+    """Writes rows as Parquet in the checkpoint folder and reads them again: lineage ends there, and constraints of earlier rounds too.
+
+    The cluster names the folder in spark.checkpoint.dir; on one machine a temporary one serves where there is none.
+    """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.cache()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='neurospan-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/neurospan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(nodes: DataFrame | None, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
