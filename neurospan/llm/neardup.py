@@ -35,6 +35,7 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 SMALL_BUCKET = 32
 PARITY = 1024
+SALTS = 16
 _U = np.uint64
 
 
@@ -202,7 +203,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(df[id_col].cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(_signatures(texts))
     some = signed.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     bucket = Window.partitionBy("band", "key")
     running = bucket.orderBy("rep")
@@ -237,8 +238,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if found.limit(1).count():
         labels = components(edges.union(found))
 
-    reps = classes.select("k1", "k2", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
-    out = signed.select("id", "n", "k1", "k2").join(reps, ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    # classes of several rows give them their component; copies of a class, however many, are dealt by a salt
+    own = labels.select(F.col("id").alias("rep"), "label")
+    several = classes.where("rows > 1").select("k1", "k2", "rep").join(own, "rep", "left")
+    several = several.select("k1", "k2", F.coalesce("label", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = signed.select("id", "n", "k1", "k2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(several, ["k1", "k2", "salt"], "left")
+    out = out.join(labels, "id", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("component", "label", "id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
