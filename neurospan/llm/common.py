@@ -71,56 +71,44 @@ _TAIL = ",.!|&$#*%"
 
 
 class Memo:
-    """Values (bytes) of keys that a worker has met, in two generations of at most `most` keys each.
+    """Values (bytes) of keys that a worker has met, forgotten all at once when they are more than `most`.
 
     make(keys) gives the values of new ones. A word with marks after it has the word's value and then
     that of mark + the marks.
     """
 
-    def __init__(self, make, mark: str, most: int = 500_000):
+    def __init__(self, make, mark: str, most: int = 900_000):
         self.make, self.mark, self.most = make, mark, most
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.held: dict[str, bytes] = {}
 
     def values_of(self, keys: list[str]) -> list[bytes]:
         """Values of distinct keys."""
-        got = list(map(self.new.get, keys))
+        held = self.held
+        got = list(map(held.get, keys))
         if None in got:
             missing = [i for i, v in enumerate(got) if v is None]
             self._learn([keys[i] for i in missing])
-            new = self.new
             for i in missing:
-                got[i] = new[keys[i]]
-            if len(new) > self.most:
-                self.old, self.new = new, {}
+                got[i] = held[keys[i]]
+            if len(held) > self.most:
+                self.held = {}
         return got
 
     def _learn(self, keys: list[str]) -> None:
-        new, old, mark = self.new, self.old, self.mark
-        ask, joint = set(), []
-
-        def look(k: str) -> None:
-            if k not in new:
-                if (v := old.get(k)) is not None:
-                    new[k] = v
-                else:
-                    ask.add(k)
-
-        for k, v in zip(keys, map(old.get, keys)):
-            if v is not None:
-                new[k] = v
-            elif not k.isalpha() and len(b := k.rstrip(_TAIL)) < len(k) and b and b[-1].lower().isalpha():
+        held, mark = self.held, self.mark
+        ask, joint = [], []
+        for k in keys:
+            if not k.isalpha() and len(b := k.rstrip(_TAIL)) < len(k) and b and b[-1].lower().isalpha():
                 joint.append((k, b, mark + k[len(b) :]))
             else:
-                ask.add(k)
-        for _, b, tail in joint:
-            look(b)
-            look(tail)
+                ask.append(k)
+        if joint:
+            more = {x for _, b, tail in joint for x in (b, tail) if x not in held}
+            ask += more.difference(ask)
         if ask:
-            asked = list(ask)
-            new.update(zip(asked, self.make(asked)))
+            held.update(zip(ask, self.make(ask)))
         for k, b, tail in joint:
-            new[k] = new[b] + new[tail]
+            held[k] = held[b] + held[tail]
 
 
 class WordCoder:
@@ -186,8 +174,8 @@ class WordCoder:
         parts = []
         for a in range(0, len(index), self.SLICE_WORDS):
             i, n = index[a : a + self.SLICE_WORDS], own[a : a + self.SLICE_WORDS]
-            shift = starts[i] - (np.cumsum(n) - n)
-            parts.append(ids[np.repeat(shift, n) + np.arange(n.sum())].tobytes())
+            shift = (starts[i] - (np.cumsum(n) - n)).astype(np.int32)
+            parts.append(ids[np.repeat(shift, n) + np.arange(n.sum(), dtype=np.int32)].tobytes())
         raw = b"".join(parts)
         cuts = (4 * at[bounds - bounds[0]]).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
