@@ -77,7 +77,7 @@ class Memo:
     that of mark + the marks.
     """
 
-    def __init__(self, make, mark: str, most: int = 900_000):
+    def __init__(self, make, mark: str, most: int = 600_000):
         self.make, self.mark, self.most = make, mark, most
         self.held: dict[str, bytes] = {}
 

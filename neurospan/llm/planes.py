@@ -26,6 +26,7 @@ from .common import BATCH_ROWS, WordCoder
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
+NO_ID = -(1 << 63)  # stands for a null id in shards
 
 
 def split_planes(ids: np.ndarray, unit: str) -> list[bytes]:
@@ -188,11 +189,11 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: s
 
     One task writes one shard under a name of its own and the manifest names those of the tasks that
     ended, so a task that runs twice does no harm. The manifest has a row a shard. Rows with a null
-    id come first, as id -1 would; equal ids keep the order of their texts' hashes.
+    id come first, as the least id would; equal ids keep the order of their texts' hashes.
     """
     spark = df.sparkSession
     fs_path = folder
-    texts = df.select(F.coalesce(df[id_col].cast("long"), F.lit(-1)).alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    texts = df.select(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = texts.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
 
@@ -253,4 +254,4 @@ def read_ids(spark, manifest: list[dict], id_col: str = "doc_id", digest: bool =
 
     shards = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start long")
     got = shards.repartition(len(manifest)).mapInArrow(run, schema)
-    return got.withColumn("id", F.nullif(F.col("id"), F.lit(-1))).withColumnRenamed("id", id_col)
+    return got.withColumn("id", F.nullif(F.col("id"), F.lit(NO_ID))).withColumnRenamed("id", id_col)
