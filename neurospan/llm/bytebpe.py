@@ -18,7 +18,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import WordCoder
+from .common import WordCoder, bounded
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -152,7 +152,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, coder = load(path, pattern)
-        for b in batches:
+        for b in bounded(batches):
             raw = coder.batch(b.column(1))
             ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))

@@ -39,11 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/neurospan-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there."""
+def materialize(df: DataFrame, even: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends there.
+
+    even: rows that come straight from a scan and are slim are dealt anew to files of an even, advised
+    size, instead of one small file for each part of the scan.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    (df.hint("rebalance") if even else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._neurospan_path = path
     return out
@@ -58,9 +62,15 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def whole(column: str):
-    """A text column with null as the empty text."""
-    return F.coalesce(F.col(column), F.lit(""))
+def bounded(batches, column: int = 1, most: int = 1 << 23):
+    """Record batches cut so that a text column holds about so many bytes in each, or a single row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most)))
+            yield b.slice(a, z - a)
+            a = z
 
 
 #: White space other than single blanks and line feeds between words (RE2).

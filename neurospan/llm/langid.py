@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize, tune
 
 FIT_ROWS = 1500
+LANGUAGES = 64  # the most frequent ones that a model tells apart
 FIT_CHARS = 20_000_000  # the fit reads whole texts up to about so many characters in all
 BITS = 15  # of a trigram's hash
 TEMPER = 0.05  # weight of a trigram's evidence: neighbours aren't independent
@@ -84,7 +85,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on the bounded sample; a table without languages gives the one language und."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND id IS NOT NULL")
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     ids = df.sparkSession.createDataFrame([], "id string, lang string")
     for lang in languages:
         ids = ids.union(rows.where(F.col("lang") == lang).select("id", "lang").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS))
@@ -177,7 +178,7 @@ def identify(df: DataFrame, model: Model, id_col: str, body_col: str, url: Colum
     none = F.lit(None).cast("string")
     where = address(url) if url is not None else {"host": host if host is not None else none, "domain": host if host is not None else none, "suffix": F.when(host.isNotNull(), F.lit("")) if host is not None else none}
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(body_col).alias("body"), (declared if declared is not None else none).alias("declared"), *(c.alias(n) for n, c in where.items()))
-    fused = fuse(materialize(text_evidence(rows, model, markup)), model.languages)
+    fused = fuse(materialize(text_evidence(rows, model, markup), even=True), model.languages)
     best = F.array_max("posterior")
     names = F.array(*(F.lit(x) for x in model.languages))
     return fused.select(F.col("id").alias(id_col), F.element_at(names, F.array_position("posterior", best).cast("int")).alias("lang"), best.alias("confidence"), "n", "declared", "host")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import bounded, discard, materialize
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -55,7 +55,7 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarr
     for t in texts:
         words = (t or "").encode("utf-8", "surrogatepass").lower().split()
         counts.append(len(words))
-        hashed += map(digest, words)
+        hashed.append(b"".join(map(digest, words)))
     w = np.frombuffer(b"".join(hashed), ">u8").astype(np.uint64)
     ends = np.cumsum([0, *counts])
     h = np.zeros(max(0, len(w) - size + 1), np.uint64)
@@ -120,7 +120,7 @@ def _signatures(df: DataFrame) -> DataFrame:
     """(id, n, k1, k2, bands, marks): set size, 128-bit key of the whole set, band keys, parity marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             flat, bounds = shingle_sets(b.column(1).to_pylist())
             sizes = np.diff(bounds)
             with np.errstate(over="ignore"):
@@ -140,7 +140,7 @@ def _sets(df: DataFrame) -> DataFrame:
     """(id, set array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             flat, bounds = shingle_sets(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["id", "set"])
 
@@ -201,7 +201,7 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of df: the least id of its component, and whether it is that id."""
     texts = df.select(df[id_col].cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(_signatures(texts))
+    signed = materialize(_signatures(texts), even=True)
     some = signed.where("n > 0 AND id IS NOT NULL")
     classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))

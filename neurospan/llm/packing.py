@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize
 from .planes import hf_ids
 
-GROUPS = 1024  # sizes that configurations are made of, at most
+GROUPS = 1536  # sizes that configurations are made of, at most
 SMALL = 16  # lengths below capacity / SMALL are small
 BUCKET_ROWS = 50_000  # rows of a class are ranked in buckets of about so many at most
 
@@ -162,7 +162,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in bounded(batches):
             rows = []
             coded = hf_ids(b.column(1), tokenizer)
             for i, raw in zip(b.column(0).to_pylist(), coded):
@@ -221,5 +221,5 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], groups: int = GROUP
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
-    pieces = materialize(token_pieces(df, tokenizer, end_id, capacity, id_col))
+    pieces = materialize(token_pieces(df, tokenizer, end_id, capacity, id_col), even=True)
     return pack(pieces, capacity, [id_col, "piece", "start", "ids_crc32"])

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, WordCoder
+from .common import BATCH_ROWS, WordCoder, bounded
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -201,7 +201,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: s
         end = np.array([end_id], "<u4").tobytes()
         writer = out = name = None
         fs = None
-        for b in batches:
+        for b in bounded(batches):
             for i, raw in zip(b.column(0).to_pylist(), hf_ids(b.column(1), tokenizer)):
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(fs_path)
