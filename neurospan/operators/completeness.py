@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settle
 from .tables import numbered, running_sum
 
 
@@ -27,7 +28,7 @@ def ranked_counts(connections: DataFrame) -> DataFrame:
     bodies = body_weights(connections)
     if "roi" in connections.columns:
         bodies = bodies.join(top_regions(connections, "body_post", "top_input_roi"), "body", "left").join(top_regions(connections, "body_pre", "top_output_roi"), "body", "left")
-    keyed = bodies.withColumn("_down", -F.col("synweight"))
+    keyed = settle(bodies.withColumn("_down", -F.col("synweight")))  # read for bounds, counts and rows
     return numbered(keyed, ["_down", "body"], "rank").drop("_down")
 
 
@@ -36,7 +37,7 @@ def forecast(connections: DataFrame, ranked: DataFrame | None = None, stop_rank:
 
     A body counts at its first connection. Totals are those before a cutoff by rank.
     """
-    ranked = ranked if ranked is not None else ranked_counts(connections)
+    ranked = settle(ranked if ranked is not None else ranked_counts(connections.drop("roi")))
     ranks = ranked.select("body", "rank", "presyn", "postsyn")
     total = ranks.agg(F.sum("presyn").alias("t_pre"), F.sum("postsyn").alias("t_post")).crossJoin(connections.agg(F.count("*").alias("t_conn")))
     if stop_rank is not None:
@@ -51,7 +52,7 @@ def forecast(connections: DataFrame, ranked: DataFrame | None = None, stop_rank:
     first = rows.select(key.alias("k"), F.explode(ends).alias("body")).groupBy("body").agg(F.min("k").alias("k"))
     new = first.join(ranks, "body").groupBy("k").agg(F.sum("presyn").alias("new_pre"), F.sum("postsyn").alias("new_post"))
     new = new.select(*(F.col(f"k.{c}").alias(c) for c in order), "new_pre", "new_post")
-    marked = rows.join(new, order, "left").na.fill(0, ["new_pre", "new_post"])
+    marked = settle(rows.join(new, order, "left").na.fill(0, ["new_pre", "new_post"]))
     done = running_sum(marked, order, {"traced_pre": F.col("new_pre"), "traced_post": F.col("new_post"), "traced_conn": F.lit(1).cast("long")})
     out = done.crossJoin(F.broadcast(total))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
