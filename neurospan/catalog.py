@@ -631,6 +631,61 @@ def principal_axes(spark, sf_dir):
     return volume.principal_axes(_image(spark, sf_dir)).select("label", "size", "center_z", "center_y", "center_x", "cov_yx")
 
 
+_WHOLE = f"SELECT z, y, x, min(label) AS label FROM ({_VOX}) GROUP BY 1, 2, 3"
+
+
+def _whole_image(spark, sf_dir) -> DataFrame:
+    """All voxels, unfolded; where line items share one, the lower line number is its label."""
+    return _voxels(spark, sf_dir).groupBy("z", "y", "x").agg(F.min("label").alias("label"))
+
+
+@query(f"""
+WITH v AS ({_WHOLE}), o AS (SELECT * FROM (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx))
+SELECT DISTINCT v.y, v.x, v.label FROM v, o, v w WHERE w.y = v.y + dy AND w.x = v.x + dx AND w.label <> v.label""")
+def whole_edge_voxels(spark, sf_dir):
+    return volume.edges(_whole_image(spark, sf_dir)).select("y", "x", "label")
+
+
+@query(f"""
+WITH v AS ({_WHOLE}), o AS (SELECT * FROM (VALUES (0, 1), (1, 0)) t(dy, dx))
+SELECT least(v.label, w.label) AS a, greatest(v.label, w.label) AS b, count(*) AS area FROM v, o, v w WHERE w.y = v.y + dy AND w.x = v.x + dx AND w.label <> v.label GROUP BY 1, 2""")
+def whole_adjacencies(spark, sf_dir):
+    return geometry.adjacencies(_whole_image(spark, sf_dir))
+
+
+@query(f"SELECT y, x, label FROM (SELECT y // 4 AS y, x // 4 AS x, label, count(*) AS n FROM ({_WHOLE}) GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY n DESC, label) = 1")
+def whole_mode_downsample(spark, sf_dir):
+    return volume.mode_downsample(_whole_image(spark, sf_dir), 4).select("y", "x", "label")
+
+
+@query()
+def whole_label_components(spark, sf_dir):
+    """Components of the whole image; SQL would recurse over all pairs of a component's voxels."""
+    return volume.label_components(_whole_image(spark, sf_dir)).select("y", "x", "label", "component")
+
+
+@query(f"SELECT label, count(*) AS size, avg(0) AS center_z, avg(y) AS center_y, avg(x) AS center_x, covar_pop(y, x) AS cov_yx FROM ({_WHOLE}) GROUP BY 1")
+def whole_principal_axes(spark, sf_dir):
+    return volume.principal_axes(_whole_image(spark, sf_dir)).select("label", "size", "center_z", "center_y", "center_x", "cov_yx")
+
+
+_PAIRS = f'SELECT body_pre AS "left", body_post AS "right", count(*) AS n FROM ({_CONN}) WHERE body_pre <> 0 AND body_post <> 0 GROUP BY 1, 2'
+
+
+@query(_PAIRS)
+def whole_contingency(spark, sf_dir):
+    c = _connections(spark, sf_dir)
+    return geometry.contingency(c.select("post_id", F.col("body_pre").alias("label")), c.select("post_id", F.col("body_post").alias("label")), ["post_id"])
+
+
+@query(f"""
+WITH s AS (SELECT "left" AS l, "right" AS r, n, sum(n) OVER (PARTITION BY "left") AS sl, sum(n) OVER (PARTITION BY "right") AS sr FROM ({_PAIRS})),
+f AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY n DESC, r) AS a, row_number() OVER (PARTITION BY r ORDER BY n DESC, l) AS b FROM s)
+SELECT l AS "left", r AS "right", n, n / CAST(sl + sr - n AS DOUBLE) AS jaccard FROM f WHERE a = 1 OR b = 1""")
+def whole_match_overlaps(spark, sf_dir):
+    return geometry.match_overlaps(whole_contingency(spark, sf_dir), favorites="any")
+
+
 @query("SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1")
 def tag_summary(spark, sf_dir):
     return store.tag_summary(_t(spark, sf_dir, "events").select(F.array("event_type").alias("Tags")))

@@ -163,3 +163,38 @@ def test_store_tables(spark):
     mapping = spark.createDataFrame([(1, 9), (2, 9)], "sv long, body long")
     assert rows(store.supervoxels_of(mapping, spark.createDataFrame([(9,), (4,)], "body long"))) == [(4, 4), (9, 1), (9, 2)]
     assert rows(store.mapping_batches(mapping, 1)) == [(9, 0, [1]), (9, 1, [2])]
+
+
+def test_whole_image_queries(spark, tmp_path):
+    """Voxels beyond 40 lines and 60 columns stay apart, and components match a search voxel by voxel."""
+    from neurospan import catalog
+
+    r = random.Random(11)
+    snake = [(y, x) for y in range(100, 113) for x in (range(300, 330) if y % 2 == 0 else [329 if y % 4 == 1 else 300])]
+    items = [(k, y, x, 1) for k, (y, x) in enumerate(snake)] + [(1000 + k, r.randrange(1, 50), r.randrange(1, 90), r.randrange(1, 4)) for k in range(1500)]
+    spark.createDataFrame([(k, x, y, n, 0.0) for k, y, x, n in items], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 30 + 1, "x") for k, *_ in items], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    image = {}
+    for _, y, x, n in items:
+        image[y, x] = min(n, image.get((y, x), n))
+    near = lambda y, x: [p for p in ((y, x + 1), (y, x - 1), (y + 1, x), (y - 1, x)) if p in image]
+    component = {}
+    for start in sorted(image):
+        if start not in component:
+            component[start], todo = start, [start]
+            while todo:
+                at = todo.pop()
+                for p in near(*at):
+                    if image[p] == image[at] and p not in component:
+                        component[p] = start
+                        todo.append(p)
+    whole = lambda name: rows(catalog.QUERIES[f"whole_{name}"](spark, str(tmp_path)))
+    assert whole("label_components") == sorted((y, x, n, component[y, x][0] * 2097152 + component[y, x][1]) for (y, x), n in image.items())
+    assert whole("edge_voxels") == sorted((y, x, n) for (y, x), n in image.items() if any(image[p] != n for p in near(y, x)))
+    assert sum(a for *_, a in whole("adjacencies")) == sum(image[p] != n for at, n in image.items() for p in near(*at)) / 2
+    assert len(whole("mode_downsample")) == len({(y // 4, x // 4) for y, x in image})
+    assert sum(n for _, n, *_ in whole("principal_axes")) == len(image)
+    pairs = {(k % 30 + 1, y) for k, y, *_ in items}
+    assert {(a, b) for a, b, _ in whole("contingency")} == pairs
+    best = whole("match_overlaps")
+    assert {a for a, *_ in best} == {a for a, _ in pairs} and {b for _, b, *_ in best} == {b for _, b in pairs}
