@@ -1,7 +1,8 @@
 """Toxicity by a noisy channel: obfuscated words are restored by Viterbi decoding, then the text is scored.
 
 The channel writes letters as digits or marks, puts marks or blanks between letters, and repeats
-letters. Its source is a character trigram model. Scores come from a sparse logistic model over the
+letters. Its source is a character trigram model; each
+stretch of single letters in a row (SPACED at most) is read as a word, since any blank may end one. Scores come from a sparse logistic model over the
 presence of words and word beginnings in the text and its restored words. Both models are fitted on a
 bounded sample of labelled rows (FIT_TOXIC and FIT_CLEAN rows, the first by a hash of their ids).
 Null texts count as empty; ids, languages and sources are no inputs of a score.
@@ -26,14 +27,17 @@ FIT_TOXIC, FIT_CLEAN = 3000, 5000
 PREFIXES = (4, 5, 6, 7, 8, 9)  # bytes of word beginnings
 FEATURES = 6000
 HOLD_OUT = 5
+SPACED = 32  # letters of the longest word that is looked for among single letters in a row
 
 # Letters that digits and marks are written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "#": "h", "&": "a", "%": "", "*": "", ".": "", "-": "", "_": "", "'": "", "~": "", "^": ""}
 
 #: Lower-cased UTF-8 to words: ASCII that is neither letter nor digit parts them.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\w)")
-_CORE = re.compile(r"^[^\w@$|!]+|[^\w@$]+$")
+#: Runs of at least two letters, digits or marks that each stand alone.
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$|€](?=\s))(?:[\s.\-_*]{1,3}(?:[^\W_](?!\w)|[@$!|€](?!\S)))+(?!\w)")
+_CORE = re.compile(r"^[^\w@$|!€]+|[^\w@$€]+$")
+_TWICE = re.compile(r"([^\W\d_])\1")
 
 SIDE = 64  # letters of the trigram model: 0 is a word's edge, 1..26 a..z, the rest others by their code
 
@@ -50,33 +54,61 @@ class Model:
     trigram: np.ndarray | None = None  # log probability of the third letter after two
 
     def restored(self, token: str) -> str:
-        """The likeliest word behind a token without white space."""
-        return decode(token, self.trigram)
+        """The likeliest words behind a token; white space in it is noise or parts words."""
+        return " ".join(readings(token.split(), self.trigram)) if " " in token else decode(token, self.trigram)
+
+
+Cells = dict[tuple[int, int], tuple[float, str]]
+
+
+def _step(cells: Cells, c: str, trigram: np.ndarray, leet_cost: float, noise_cost: float, drop_cost: float, repeat_cost: float) -> Cells:
+    then: Cells = {}
+
+    def put(state, cost, word):
+        if state not in then or (cost, word) < then[state]:
+            then[state] = (cost, word)
+
+    letters = [(c, 0.0)] if c.isalpha() else [(x, leet_cost) for x in LEET.get(c, "")]
+    for (a, b), (cost, word) in cells.items():
+        for x, extra in letters:
+            k = _letter(x)
+            put((b, k), cost + extra - float(trigram[a, b, k]), word + x)
+        if word and c == word[-1]:
+            put((a, b), cost + repeat_cost, word)
+        if not c.isalpha():
+            put((a, b), cost + (drop_cost if LEET.get(c, c) else noise_cost), word)
+    return then or cells
+
+
+def _end(cells: Cells, trigram: np.ndarray) -> str:
+    return min((cost - float(trigram[a, b, 0]), word) for (a, b), (cost, word) in cells.items())[1]
 
 
 def decode(token: str, trigram: np.ndarray, leet_cost: float = 1.5, noise_cost: float = 0.5, drop_cost: float = 7.0, repeat_cost: float = 0.5) -> str:
     """Viterbi over a lattice whose states are the last two letters; arcs of a character read it as a
     letter, as a letter it is written for, as a repetition of the last letter, or as noise."""
-    cells: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    cells: Cells = {(0, 0): (0.0, "")}
     for c in token:
-        then: dict[tuple[int, int], tuple[float, str]] = {}
-
-        def put(state, cost, word):
-            if state not in then or (cost, word) < then[state]:
-                then[state] = (cost, word)
-
-        letters = [(c, 0.0)] if c.isalpha() else [(x, leet_cost) for x in LEET.get(c, "")]
-        for (a, b), (cost, word) in cells.items():
-            for x, extra in letters:
-                k = _letter(x)
-                put((b, k), cost + extra - float(trigram[a, b, k]), word + x)
-            if word and c == word[-1]:
-                put((a, b), cost + repeat_cost, word)
-            if not c.isalpha():
-                put((a, b), cost + (drop_cost if LEET.get(c, c) else noise_cost), word)
-        cells = then or cells
-    ends = sorted((cost - float(trigram[a, b, 0]), word) for (a, b), (cost, word) in cells.items())
-    return ends[0][1]
+        cells = _step(cells, c, trigram, leet_cost, noise_cost, drop_cost, repeat_cost)
+    return _end(cells, trigram)
+
+
+def readings(row: list[str], trigram: np.ndarray, leet_cost: float = 1.5, noise_cost: float = 0.5, drop_cost: float = 7.0, repeat_cost: float = 0.5) -> list[str]:
+    """Words behind single letters in a row. Each blank is noise or the end of a word, so every stretch of
+    2 to SPACED letters is decoded as a word; one of letters alone counts as written too."""
+    found: set[str] = set()
+    for i in range(len(row)):
+        cells: Cells = {(0, 0): (0.0, "")}
+        plain = ""
+        for j in range(i, min(len(row), i + SPACED)):
+            for c in row[j]:
+                cells = _step(cells, c, trigram, leet_cost, noise_cost, drop_cost, repeat_cost)
+            plain += row[j]
+            if j > i:
+                found.add(_end(cells, trigram))
+                if plain.isalpha():
+                    found.add(plain)
+    return sorted(found)
 
 
 def _words(text: str) -> set[bytes]:
@@ -84,23 +116,18 @@ def _words(text: str) -> set[bytes]:
 
 
 def suspicious(text: str) -> set[str]:
-    """Tokens that may be obfuscated: marks or digits among letters, letters repeated thrice, or single letters in a row."""
+    """Tokens that may be obfuscated: marks or digits among letters, doubled letters, or single letters in a row with what parts them."""
     low = text.lower()
-    raw = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
-    letter = (raw >= 97) & (raw <= 122)
     found: set[str] = set()
-    odd = (raw != 32) & (raw != 10) & ~letter & (raw < 128)
-    # a letter, then a mark or digit, then a letter, mark or digit; or three like letters
-    inside = (letter[:-2] & odd[1:-1] & (letter[2:] | odd[2:])).any() or (odd[:-2] & odd[1:-1] & letter[2:]).any() or (odd[:-1] & letter[1:]).any()
-    thrice = (letter[:-2] & (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:])).any()
-    if inside or thrice:
-        for t in set(low.split()):
-            core = _CORE.sub("", t)
-            if any(c.isalpha() for c in core) and (not core.isalpha() or any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2))):
-                found.add(core)
-    single = letter[1:-1] & ~letter[:-2] & ~letter[2:] if len(raw) > 2 else letter[:0]
-    if single.sum() >= 3:
-        found.update(re.sub(r"[ .\-_*]", "", m[0]) for m in _SPACED.finditer(low))
+    for t in set(low.split()):
+        if t.isalpha():
+            if _TWICE.search(t):
+                found.add(t)
+            continue
+        core = _CORE.sub("", t)
+        if any(map(str.isalpha, core)) and (not core.isalpha() or _TWICE.search(core)):
+            found.add(core)
+    found.update(" ".join(m[0].split()) for m in _SPACED.finditer(low) if any(map(str.isalpha, m[0])))
     return found
 
 

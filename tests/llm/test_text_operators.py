@@ -221,3 +221,12 @@ def test_toxicity_without_labels(spark):
 def test_held_out_rule(spark):
     df = spark.range(200).select(F.col("id").alias("doc_id"), toxicity.is_held_out("id").alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())
+
+
+def test_toxicity_restores_spaced_and_doubled_words():
+    model = toxicity.train([(t, y) for _, t, y in _toxic_rows(600)])
+    words = toxicity.Scorer(model).words_of
+    for text in ("kano you are a w r e t c h", "I w r e t c h", "y o u w r e t c h", "w r e t c h y o u", "a w r 3 t c h losa", "w\nr\ne\nt\nc\nh", "kano wreetch losa", "wr€tch", "w r € t c h"):
+        assert b"wretch" in words(text), text
+    assert b"ass" in words("a s s") and b"no" in words("kano n o")
+    assert not toxicity.suspicious("kano a losa 1 2 3")
