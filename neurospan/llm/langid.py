@@ -1,7 +1,8 @@
 """Language ID by fusion of evidence: text likelihood, declared markup language, address suffix and host prior.
 
-The text model is a naive Bayes over byte trigrams, fitted on a bounded sample of documents with a
-language (FIT_ROWS rows a language, the first by a hash of their ids). Host priors come from grouped
+The text model is a naive Bayes over byte trigrams of every language that occurs, fitted on a bounded
+sample of each: its first FIT_ROWS rows by a hash of their ids, up to the row with which they hold
+FIT_CHARS characters. Trigrams are counted on the executors, one task a language. Host priors come from grouped
 aggregation of all rows' text posteriors, smoothed down a hierarchy: all rows, suffix, domain, host; a
 row's own part is taken out of its host's counts. What a declared language or a suffix says about the
 language is counted over all rows in the same way.
@@ -18,14 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, tune
 
 FIT_ROWS = 1500
-LANGUAGES = 64  # the most frequent ones that a model tells apart
-FIT_CHARS = 20_000_000  # the fit reads whole texts up to about so many characters in all
+FIT_CHARS = 20_000_000  # the fit reads whole texts up to about so many characters of each language
 BITS = 15  # of a trigram's hash
 TEMPER = 0.05  # weight of a trigram's evidence: neighbours aren't independent
 STRENGTH = {"suffix": 20.0, "domain": 10.0, "host": 5.0}
@@ -75,30 +75,41 @@ class Model:
 
 def train(rows: list[tuple[str, str]]) -> Model:
     """From (language, text) rows; at least one language."""
-    languages = sorted({lang for lang, _ in rows})
-    counts = np.full((1 << BITS, max(1, len(languages))), 0.5)
+    return _model(_counted(rows))
+
+
+def _counted(rows) -> dict[str, np.ndarray]:
+    counts: dict[str, np.ndarray] = {}
     for lang, text in rows:
-        counts[:, languages.index(lang)] += np.bincount(trigram_counts(text), minlength=1 << BITS)
+        own = counts.setdefault(lang, np.zeros(1 << BITS, np.int64))
+        own += np.bincount(trigram_counts(text), minlength=1 << BITS)
+    return counts
+
+
+def _model(seen: dict[str, np.ndarray]) -> Model:
+    languages = sorted(seen)
+    counts = np.full((1 << BITS, max(1, len(languages))), 0.5)
+    for i, lang in enumerate(languages):
+        counts[:, i] += seen[lang]
     return Model(languages or ["und"], np.log(counts / counts.sum(axis=0)))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on the bounded sample; a table without languages gives the one language und."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND id IS NOT NULL")
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ids = df.sparkSession.createDataFrame([], "id string, lang string")
-    for lang in languages:
-        ids = ids.union(rows.where(F.col("lang") == lang).select("id", "lang").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS))
-    got, size = [], 0
-    for r in rows.join(F.broadcast(ids), ["id", "lang"]).select("lang", "text", F.xxhash64("id").alias("h")).collect():
-        got.append((r["h"], r["lang"], r["text"]))
-    taken = []
-    for _, lang, text in sorted(got):
-        size += len(text)
-        taken.append((lang, text))
-        if size >= FIT_CHARS:
-            break
-    return train(taken)
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    first = rows.select("id", "lang", F.length("text").alias("n")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= FIT_ROWS)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = first.withColumn("before", before).where(F.col("before") < FIT_CHARS).select("id", "lang").distinct()
+    tune(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _counted((lang.as_py(), text.as_py()) for b in batches for lang, text in zip(b.column(0), b.column(1)))
+        for lang, own in got.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([own.tobytes()], pa.binary())], names=["lang", "counts"])
+
+    counted = rows.join(F.broadcast(ids), ["id", "lang"]).select("lang", "text").repartition("lang").mapInArrow(run, "lang string, counts binary")
+    return _model({r["lang"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()})
 
 
 def address(url: Column) -> dict[str, Column]:

@@ -279,3 +279,16 @@ def test_queries_are_registered():
     for n in found:
         by[n].append(n)
     assert set(entry.oracle_sql()) <= set(by)
+
+
+def test_language_fit_keeps_every_language(spark, monkeypatch):
+    """More than 64 languages, and one long text that would end a fit over all of them."""
+    rows = [(100 * k + i, f"q{chr(97 + k % 26)}{chr(97 + k // 26)}x word " * (400 if k == 3 else 5), f"l{k:02d}") for k in range(70) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.train([(lang, t) for _, t, lang in rows])
+    got = langid.fit(docs)
+    assert got.languages == whole.languages and len(got.languages) == 70 and np.array_equal(got.log, whole.log)
+    monkeypatch.setattr(langid, "FIT_CHARS", 30)
+    bounded = langid.fit(docs)
+    once = langid.train(sorted({(lang, t) for _, t, lang in rows}))  # the first row of each is longer than 30
+    assert bounded.languages == whole.languages and np.array_equal(bounded.log, once.log)
