@@ -76,69 +76,67 @@ def bounded(batches, column: int = 1, most: int = 1 << 23):
 #: White space other than single blanks and line feeds between words (RE2).
 _ODD = r"[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|^[ \n]|[ \n]$"
 
-#: Marks that always begin a pre-token of their own after a letter.
+#: Marks that always begin a pre-token of their own after a letter, and a word that ends with some. Of
+#: capitals only Latin-1's: lower-cased, U+0130 ends in a mark, which would join those that follow.
 _TAIL = ",.!|&$#*%"
+_TAILED = r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}A-ZÀ-ÖØ-Þ][" + _TAIL + "]+$"
 
 
 class Memo:
-    """Values (bytes) of keys that a worker has met, forgotten all at once when they are more than `most`.
+    """Values (bytes) of keys that a worker has met, in two generations of about `most` bytes each.
 
-    make(keys) gives the values of new ones. A word with marks after it has the word's value and then
-    that of mark + the marks.
+    What is asked for moves to the younger generation; when that is full, the elder is forgotten. So a
+    worker holds no more than about twice as much, however many different words its texts have.
+    make(keys) gives the values of new ones.
     """
 
-    def __init__(self, make, mark: str, most: int = 900_000):
-        self.make, self.mark, self.most = make, mark, most
-        self.held: dict[str, bytes] = {}
+    ENTRY = 170  # bytes of an entry besides its key's and its value's own
+
+    def __init__(self, make, most: int = 28 << 20):
+        self.make, self.most = make, most
+        self.young: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+        self.size = 0
 
     def values_of(self, keys: list[str]) -> list[bytes]:
         """Values of distinct keys."""
-        held = self.held
-        got = list(map(held.get, keys))
+        got = list(map(self.young.get, keys))
         if None in got:
-            missing = [i for i, v in enumerate(got) if v is None]
-            self._learn([keys[i] for i in missing])
-            for i in missing:
-                got[i] = held[keys[i]]
-            if len(held) > self.most:
-                self.held = {}
+            lacking = [i for i, v in enumerate(got) if v is None]
+            wanted = [keys[i] for i in lacking]
+            values = list(map(self.elder.get, wanted))
+            new = [k for k, v in zip(wanted, values) if v is None]
+            if new:
+                made = iter(self.make(new))
+                values = [next(made) if v is None else v for v in values]
+            for i, v in zip(lacking, values):
+                got[i] = v
+            self.young.update(zip(wanted, values))
+            self.size += self.ENTRY * len(wanted) + sum(map(len, wanted)) + sum(map(len, values))
+            if self.size > self.most:
+                self.elder, self.young, self.size = self.young, {}, 0
         return got
 
-    def _learn(self, keys: list[str]) -> None:
-        held, mark = self.held, self.mark
-        ask, joint = [], []
-        for k in keys:
-            if not k.isalpha() and len(b := k.rstrip(_TAIL)) < len(k) and b and b[-1].lower().isalpha():
-                joint.append((k, b, mark + k[len(b) :]))
-            else:
-                ask.append(k)
-        if joint:
-            more = {x for _, b, tail in joint for x in (b, tail) if x not in held}
-            ask += more.difference(ask)
-        if ask:
-            held.update(zip(ask, self.make(ask)))
-        for k, b, tail in joint:
-            held[k] = held[b] + held[tail]
-
 
 class WordCoder:
     """Token ids of whole texts, word by word, as little-endian 32-bit bytes.
 
     Where single blanks and line feeds are the only white space, no pre-token crosses from one word to
-    the next, so words are encoded apart and remembered. Keys are words with the blank before them left
-    out, with their line feed, or, as a text's first, with a tab. Other texts are encoded whole. With
-    blanks=False white space leaves no ids, and keys are the words.
+    the next, so words are encoded apart and remembered; marks that end a word are remembered apart from
+    it. Keys are words with the blank before them left out, with their line feed, or, as a text's first,
+    with a tab. Other texts are encoded whole, and so are those that match `whole`. With blanks=False
+    white space leaves no ids, and keys are the words.
 
     encode(texts) gives the ids of each text; encode_words(words) those of words after a blank.
     """
 
     GROUP_BYTES = 1 << 22  # texts are cut into words together up to about so many bytes
-    SLICE_WORDS = 1 << 19  # ids of so many words are gathered at once
 
-    def __init__(self, encode, blanks: bool, encode_words=None):
+    def __init__(self, encode, blanks: bool, encode_words=None, whole: str | None = None):
         self.encode, self.blanks = encode, blanks
         self.words = encode_words or (lambda words: encode([" " + w for w in words]))
-        self.memo = Memo(self._make, "\t" if blanks else "")
+        self.odd = f"{_ODD}|{whole}" if whole else _ODD
+        self.memo = Memo(self._make)
 
     def _make(self, keys: list[str]) -> list[bytes]:
         bare = [k for k in keys if k[0] not in "\t\n"] if self.blanks else keys
@@ -161,7 +159,7 @@ class WordCoder:
         return out
 
     def _group(self, texts: pa.Array) -> list[bytes]:
-        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(texts, ""))
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.equal(texts, ""))
         plain = texts.filter(pc.invert(odd))
         parts = iter(self._plain(plain)) if len(plain) else iter(())
         return [(self.encode([t.as_py()])[0] if len(t.as_py()) else b"") if o else next(parts) for t, o in zip(texts, odd.to_pylist())]
@@ -174,18 +172,26 @@ class WordCoder:
         words = pc.split_pattern(texts, " ")
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        index = coded.indices.to_numpy()
-        values = self.memo.values_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        ids = np.frombuffer(b"".join(values), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        own = sizes[index]
-        at = np.concatenate([[0], np.cumsum(own)])
-        parts = []
-        for a in range(0, len(index), self.SLICE_WORDS):
-            i, n = index[a : a + self.SLICE_WORDS], own[a : a + self.SLICE_WORDS]
-            shift = (starts[i] - (np.cumsum(n) - n)).astype(np.int32)
-            parts.append(ids[np.repeat(shift, n) + np.arange(n.sum(), dtype=np.int32)].tobytes())
-        raw = b"".join(parts)
-        cuts = (4 * at[bounds - bounds[0]]).tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        ids = self._values(coded.dictionary).take(coded.indices)
+        places = np.frombuffer(ids.buffers()[1], np.int64)
+        raw, cuts = memoryview(ids.buffers()[2]), places[bounds - bounds[0]].tolist()
+        return [raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _values(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words; those with marks at their end have the ids of both parts."""
+        bare = pc.utf8_rtrim(words, characters=_TAIL)
+        parted = pc.not_equal(bare, words)
+        parted = pc.replace_with_mask(parted, parted, pc.match_substring_regex(words.filter(parted), _TAILED))
+        ends = pc.extract_regex(words.filter(parted), rf"(?P<tail>[{_TAIL}]+)$")
+        heads = pc.if_else(parted, bare, words).dictionary_encode()
+        tails = pc.replace_with_mask(pa.repeat("", len(words)), parted, pc.struct_field(ends, "tail")).dictionary_encode()
+        marks = _strings(tails.dictionary)
+        some = [t for t in marks if t]
+        after = dict(zip(some, self.memo.values_of([("\t" if self.blanks else "") + t for t in some])))
+        own = pa.array(self.memo.values_of(_strings(heads.dictionary)), pa.large_binary()).take(heads.indices)
+        more = pa.array([after.get(t, b"") for t in marks], pa.large_binary()).take(tails.indices)
+        return pc.binary_join_element_wise(own, more, pa.scalar(b"", pa.large_binary()))
+
+
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
