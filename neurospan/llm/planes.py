@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -144,17 +145,19 @@ class ShardReader:
 
 @lru_cache(2)
 def hf_coder(path: str) -> WordCoder:
-    """Ids of texts by the tokenizers library; one coder with its memory of words a worker process.
+    """Ids of texts by the tokenizers library as its file sets it; one coder with its memory of words a worker process.
 
-    New words of letters alone go to the library in one string, and its ids are cut where words begin
+    A text that may hold an added token's content goes to the library whole, which gives it that token's id. New words of letters alone go to the library in one string, and its ids are cut where words begin
     or end; if that doesn't give as many words, and for all others, each goes by itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     suffix = json.loads(t.to_str())["model"].get("end_of_word_suffix")
+    # in any case, since a token may be looked for in normalized text; the last three are all that NFC makes ASCII
+    contents = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
+    added = f"(?i:{'|'.join(contents)})|[\u037e\u1fef\u212a]" if contents else None
     edge = np.zeros(t.get_vocab_size(), bool)  # of the ids that end a word, or begin one after a blank
     for token, i in t.get_vocab().items():
         edge[i] = token.endswith(suffix) if suffix else token.startswith("\u0120")
@@ -176,7 +179,7 @@ def hf_coder(path: str) -> WordCoder:
         got.update(zip(rest, apart(rest if suffix else [" " + k for k in rest])))
         return [got[k] for k in keys]
 
-    return WordCoder(apart, blanks=suffix is None, encode_words=words)
+    return WordCoder(apart, blanks=suffix is None, encode_words=words, whole=added)
 
 
 def hf_ids(texts: pa.Array | list, path: str) -> list[bytes]:

@@ -51,13 +51,26 @@ def test_perfect_hash_finds_keys_alone():
 def test_word_coder_matches_the_library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    texts = [x or "" for x in ODD] + noise(300, 6)
+    t = Tokenizer.from_file(P.path(name))  # as the file sets it: added tokens in a text get their ids
+    r = random.Random(8)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "\n", "a", "haus,", "İ!!", "Kelvin", "Σ,", "é.", "12", "x.", "|>", "<|", "\u212a", "\u037e", "ǅ."]
+    texts = [x or "" for x in ODD] + noise(300, 6) + ["".join(r.choice(bits) for _ in range(r.randrange(10))) for _ in range(2000)]
     got = [np.frombuffer(b, "<u4").tolist() for b in planes.hf_ids(texts + texts, P.path(name))]
     assert got == 2 * [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_memory_of_words_is_bounded():
+    from neurospan.llm.common import Memo
+
+    asked = []
+    memo = Memo(lambda keys: asked.extend(keys) or [k.encode() for k in keys], most=20_000)
+    for i in range(300):
+        keys = ["often", *(f"w{i}-{j}" for j in range(20))]
+        assert memo.values_of(keys) == [k.encode() for k in keys]
+        assert len(memo.young) + len(memo.elder) < 300
+    assert asked.count("often") == 1  # what is asked for again and again stays
+
+
 @pytest.mark.parametrize("unit", ["bit", "byte"])
 def test_planes_roundtrip(unit):
     r = np.random.default_rng(1)
