@@ -5,15 +5,16 @@ in round T + j every shingle goes into bin j, so after 2T rounds no bin is empty
 all bins are full. A coordinate is the least value in its bin, and two sets agree in one with the
 probability of their Jaccard similarity (concentrated as with independent values).
 
-Equal sets form a class that its smallest id stands for; only representatives are banded. In a band's
-bucket each representative is linked with three others: the first, the one before it, and the hub, whose
-buckets hold most rows; a text that many were copied from is the hub of theirs. That joins groups of
-copies in linear work. Then only buckets with several components are looked at again: small ones by all
-pairs between components, bounded by SMALL_BUCKET a row; the representatives of larger ones by an exact
-prefix join (rarest shingles first), which no bucket size limits. Pairs whose sets can't be similar are
-dropped beforehand by two exact bounds, of sizes and of parity marks: sets toggle PARITY bits by their
-shingles, and no more bits differ than the sets have shingles apart. With 32 bands of 4 coordinates a
-link at similarity 0.75 fails to meet in any bucket with probability 5e-6.
+Equal sets form a class that its smallest id stands for; only representatives are banded. They are
+linked in rounds, so that the pairs to confirm are a few times the representatives, however large a
+bucket is. First each is asked against one other, its hub: the member of its buckets that meets most
+rows; a text that many were copied from is the hub of theirs. Then, in buckets that hold several
+components still, each is asked against one member of the bucket's largest. What is apart even then goes
+an exact way: buckets of at most SMALL_BUCKET by all pairs between components, the representatives of
+larger ones by a prefix join (rarest shingles first), which no bucket size limits. Pairs whose sets can't
+be similar are dropped beforehand by exact bounds, of sizes and of parity marks: sets toggle PARITY bits
+by their shingles, and no more bits differ than the sets have shingles apart. With 32 bands of 4
+coordinates a link at similarity 0.75 fails to meet in any bucket with probability 5e-6.
 
 Rows without an id are linked with nothing and kept; rows that share an id share its result.
 """
@@ -36,9 +37,12 @@ PERCENT = 75
 SMALL_BUCKET = 32
 PARITY = 1024
 SALTS = 16
+FREQUENT = 64  # a shingle of more prefixes is dealt by classes of sizes
+SALT_ROWS, MOST_SALTS = 4096, 64  # and one of more than that by salts too, of which there are so many at most
 _U = np.uint64
 
 
+# Shifts and factors of a public 64-bit finalizer.
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
@@ -160,8 +164,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _may(n: str, m: str, p: str, q: str):
     """Without this no intersection can suffice: sizes are near enough, and parity marks don't differ in too many bits."""
     small, large = F.least(n, m), F.greatest(n, m)
-    both = F.col(n) + F.col(m)
-    apart = both - 2 * F.floor((PERCENT * both + 99 + PERCENT) / (100 + PERCENT))
+    apart = F.col(n) + F.col(m) - 2 * _needed(n, m)
     bits = sum((F.bit_count(F.col(p)[k].bitwiseXOR(F.col(q)[k])) for k in range(PARITY // 64)), F.lit(0))
     return (100 * small >= PERCENT * large) & (bits <= apart)
 
@@ -184,18 +187,35 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _needed(n: str, m: str):
+    """How many shingles sets of n and m share at least if they are similar."""
+    return F.floor((PERCENT * (F.col(n) + F.col(m)) + 99 + PERCENT) / (100 + PERCENT))
+
+
 def _rest_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs between components among rest (id, n, marks, label) that share a shingle of their prefixes, rarest shingles first.
 
-    Sets of n and m with the similarity share one among the n - ceil(0.75 n) + 1 first of either in any common order.
+    Sets of n and m with the similarity share one among the n - ceil(0.75 n) + 1 first of either in any
+    common order; after the first that they share, enough must be left in both. Frequent shingles are
+    dealt by classes of sizes, which differ by one at most, and by salts.
     """
     tokens = rest.join(sets, "id").select("id", "n", "label", F.explode("set").alias("token"))
     freq = tokens.groupBy("token").agg(F.count("*").alias("f"), (F.min("label") != F.max("label")).alias("mixed")).where("f > 1")
     order = Window.partitionBy("id").orderBy("f", "token")
     placed = tokens.join(freq, "token", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("r", F.row_number().over(order))
-    prefix = placed.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1) & F.col("mixed")).select("id", "n", "label", "token").join(rest.select("id", "marks"), "id")
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("marks").alias("q"), "token")
-    return prefix.withColumnRenamed("id", "a").join(other, (prefix.token == other.token) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _may("n", "m", "marks", "q")).select("a", "b").distinct()
+    prefix = placed.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1) & F.col("mixed"))
+    width = F.when(F.col("f") > FREQUENT, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9)).otherwise(-1)
+    salts = F.least(F.ceil(F.col("f") / SALT_ROWS), F.lit(MOST_SALTS)).cast("int")
+    prefix = prefix.select("id", "n", "label", "token", "r", width.alias("width"), salts.alias("salts")).join(rest.select("id", "marks"), "id")
+    both = F.when(F.col("width") < 0, F.array("width")).otherwise(F.array("width", F.col("width") + 1))
+    small = prefix.select(F.col("id").alias("a"), "n", "label", "marks", "token", "r", F.explode(both).alias("width"), "salts")
+    small = small.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
+    large = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("marks").alias("q"), F.col("r").alias("r2"), "token", "width", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    ahead = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    enough = 1 + F.least(F.col("n") - F.col("r"), F.col("m") - F.col("r2")) >= _needed("n", "m")
+    keys = [small[c] == large[c] for c in ("token", "width", "salt")]
+    met = small.join(large, [*keys, ahead, F.col("label") != F.col("other"), enough, _may("n", "m", "marks", "q")])
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,35 +225,50 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = signed.where("n > 0 AND id IS NOT NULL")
     classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    bucket = Window.partitionBy("band", "key")
-    running = bucket.orderBy("rep")
-    met = rows.select("rep", "band", "key", F.count("*").over(bucket).alias("size"), F.first("rep").over(running).alias("first"), F.lag("rep").over(running).alias("last"))
-    met = materialize(met.where("size > 1"))
-    hub = met.groupBy("rep").agg(F.sum("size").alias("reach"))
-    hubs = met.select("rep", "band", "key").join(hub, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("reach", "rep")).alias("hub"))
-    info = materialize(signed.select(F.col("id").alias("rep"), "n", "marks").join(met.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    met = materialize(rows.join(sizes, ["band", "key"]).select("rep", "band", "key", "size"))
+    ids = materialize(met.groupBy("rep").agg(F.sum("size").alias("reach")))
+    info = materialize(signed.select(F.col("id").alias("rep"), "n", "marks").join(ids, "rep", "left_semi").dropDuplicates(["rep"]))
+    sets = materialize(_sets(texts.join(ids.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi")))
     left, right = info.select(F.col("rep").alias("a"), "n", F.col("marks").alias("p")), info.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("marks").alias("q"))
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        return pairs.join(left, "a").join(right, "b").where(_may("n", "m", "p", "q")).select("a", "b")
+    def confirmed(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs that links (rep, to) come down to, and those of them that are similar."""
+        pairs = links.where("rep != to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
+        pairs = materialize(pairs.join(left, "a").join(right, "b").where(_may("n", "m", "p", "q")).select("a", "b"))
+        return pairs, materialize(_similar(pairs, sets))
 
-    ordered = lambda x: F.struct(F.least(x, "rep").alias("a"), F.greatest(x, "rep").alias("b"))
-    star = met.join(hubs, ["band", "key"]).select(F.inline(F.array(ordered("first"), ordered("last"), ordered("hub")))).where("a != b").distinct()
-    pairs = materialize(possible(star))
-    ids = met.select(F.col("rep").alias("id")).distinct()
-    sets = materialize(_sets(texts.join(ids.hint("shuffle_hash"), "id", "left_semi")))
-    edges = materialize(_similar(pairs, sets))
+    # round 1: each representative and the hub of all its buckets
+    hubs = met.join(ids, "rep").groupBy("band", "key").agg(F.max(F.struct("reach", "rep")).alias("hub"))
+    own = met.join(hubs, ["band", "key"]).groupBy("rep").agg(F.max("hub").alias("hub"))
+    asked, edges = confirmed(own.select("rep", F.col("hub.rep").alias("to")))
     labels = components(edges)
 
-    # buckets that hold several components still
-    known = met.select("rep", "band", "key", "size").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = known.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "key")
-    open_ = materialize(known.join(mixed, ["band", "key"]).join(info, "rep"))
+    # round 2: in buckets of several components, each representative and one of the largest of them
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+    def mixed(df: DataFrame) -> DataFrame:
+        apart = df.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+        return materialize(df.join(apart, ["band", "key"]).drop("lo", "hi"))
+
+    known = mixed(labelled(met))
+    parts = known.groupBy("band", "key", "label").agg(F.struct(F.count("*").alias("rows"), F.min("rep").alias("to")).alias("part"))
+    main = parts.groupBy("band", "key").agg(F.max(F.struct("part", "label")).alias("main"))
+    links = known.join(main, ["band", "key"]).where("label != main.label").select("rep", "main.part.to").distinct()
+    pairs, found = confirmed(links)
+    if found.limit(1).count():
+        labels = components(edges := materialize(edges.union(found)))
+        known = mixed(labelled(known.drop("label")))
+    asked = asked.union(pairs)
+
+    # the exact way, for buckets that hold several components still
+    open_ = materialize(known.join(info, "rep"))
     few = open_.where(F.col("size") <= SMALL_BUCKET).select("band", "key", F.col("rep").alias("a"), "n", F.col("marks").alias("p"), "label")
     other = few.select("band", "key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("label").alias("other"))
     more = few.join(other, (few.band == other.band) & (few.key == other.key) & (F.col("a") < F.col("b")) & (few.label != F.col("other")) & _may("n", "m", "p", "q")).select("a", "b").distinct()
     rest = open_.where(F.col("size") > SMALL_BUCKET).select(F.col("rep").alias("id"), "n", "marks", "label").dropDuplicates(["id"])
-    todo = more.union(_rest_pairs(rest, sets)).distinct().join(pairs, ["a", "b"], "left_anti")
+    todo = materialize(more.union(_rest_pairs(rest, sets)).distinct().join(asked, ["a", "b"], "left_anti"))
     found = materialize(_similar(todo, sets))
     if found.limit(1).count():
         labels = components(edges.union(found))
