@@ -7,7 +7,9 @@ aggregation of all rows' text posteriors, smoothed down a hierarchy: all rows, s
 row's own part is taken out of its host's counts. What a declared language or a suffix says about the
 language is counted over all rows in the same way.
 
-Null texts and addresses are no evidence. A row without any has the language of the overall prior.
+Null texts and addresses are no evidence. A row without any has the language of the overall prior. Rows
+are judged one by one, also those that share an id; of languages equally likely the first by name is told.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import bounded, materialize, tune
 
 FIT_ROWS = 1500
 FIT_CHARS = 20_000_000  # the fit reads whole texts up to about so many characters of each language
+BUCKETS = 64  # that each language's rows are dealt to while its first ones are looked for
 BITS = 15  # of a trigram's hash
 TEMPER = 0.05  # weight of a trigram's evidence: neighbours aren't independent
 STRENGTH = {"suffix": 20.0, "domain": 10.0, "host": 5.0}
@@ -33,7 +36,7 @@ SMOOTH = 1.0
 
 _DROPPED = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*)", re.I)
 
 
 def visible(page: str) -> str:
@@ -43,7 +46,12 @@ def visible(page: str) -> str:
 
 def declared_language(page: str) -> str | None:
     m = _DECLARED.search(page)
-    return m[1].lower() if m else None
+    return language_tag(m[1]) if m else None
+
+
+def language_tag(tag: str) -> str:
+    """A declared tag in one form: lower case, subtags parted by hyphens (zh-hans and zh-hant stay apart)."""
+    return tag.strip().lower().replace("_", "-")
 
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -97,10 +105,13 @@ def _model(seen: dict[str, np.ndarray]) -> Model:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on the bounded sample; a table without languages gives the one language und."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND id IS NOT NULL")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    first = rows.select("id", "lang", F.length("text").alias("n")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= FIT_ROWS)
+    # the first of each language: first of each of its buckets, so that a common language isn't one task's
+    once = rows.groupBy("lang", "id").agg(F.max(F.length("text")).cast("long").alias("n")).withColumn("h", F.xxhash64("id"))
+    first = F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("h", "id"))
+    some = once.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(BUCKETS))).withColumn("rank", first).where(F.col("rank") <= FIT_ROWS)
+    first = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rank") <= FIT_ROWS)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ids = first.withColumn("before", before).where(F.col("before") < FIT_CHARS).select("id", "lang").distinct()
+    ids = first.withColumn("before", before).where(F.col("before") < FIT_CHARS).select("id", "lang")
     tune(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +137,7 @@ def text_evidence(df: DataFrame, model: Model, markup: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
+        for b in bounded(batches):
             ns, logs, said = [], [], []
             for body, d in zip(b.column(1), b.column(2).to_pylist()):
                 body = body.as_py() or ""
@@ -136,7 +147,7 @@ def text_evidence(df: DataFrame, model: Model, markup: bool) -> DataFrame:
                 n, e = m.evidence(body)
                 ns.append(n)
                 logs.append(e)
-                said.append(d.lower()[:3] if d else None)
+                said.append(language_tag(d) if d and d.strip() else None)
             flat = pa.array(np.concatenate(logs) if logs else np.zeros(0))
             ends = pa.array(np.arange(len(logs) + 1, dtype=np.int32) * len(m.languages))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), *(b.column(k) for k in (3, 4, 5)), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["id", "declared", "host", "domain", "suffix", "n", "logs"])
