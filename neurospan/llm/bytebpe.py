@@ -163,11 +163,14 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", digest: bool = False) -> DataFrame:
-    """(id, decoded binary), or with digest the count and hashes of ids and of the decoded bytes."""
+    """(id, decoded binary), or with digest the count and hashes of ids and of the decoded bytes.
+
+    A null list counts as empty. Each row, also one without an id or with another's, has its own result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = load(path, pattern)
-        for b in batches:
+        for b in bounded(batches):
             rows = []
             for ids in b.column(1):
                 ids = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []

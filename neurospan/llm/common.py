@@ -63,9 +63,11 @@ def discard(df: DataFrame | None) -> None:
 
 
 def bounded(batches, column: int = 1, most: int = 1 << 23):
-    """Record batches cut so that a text column holds about so many bytes in each, or a single row."""
+    """Record batches cut so that a column of texts, bytes or lists of ids holds about so many bytes in each, or a single row."""
     for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        held = b.column(column)
+        size = pc.multiply(pc.list_value_length(held), 4) if pa.types.is_list(held.type) else pc.binary_length(held)
+        ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         a = 0
         while a < b.num_rows:
             z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most)))

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 #: Words: what is neither an ASCII letter's lower case, a digit nor beyond ASCII parts them. A-Z are lower-cased first.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -133,12 +135,15 @@ class Scanner:
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """(id, n_words, places array<long>, base array<string>, spans array<struct<label,first,end>>) of whole texts; null is empty."""
+    """(id, n_words, places array<long>, base array<string>, spans array<struct<label,first,end>>) of whole texts.
+
+    Null is an empty text, which holds nothing. Each row, also one without an id or with another's, has its own result; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         span = pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())])
-        for b in batches:
+        for b in bounded(batches):
             got = [scanner.scan(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -1,5 +1,6 @@
 """Media columns: texts as PNG images in a binary column, read back with all checks, and image hashes.
 
+Each row, also one without an id or with another's, has its own result; an empty table gives none.
 Nulls count as empty texts; an empty payload is one row of zero samples, so every row has an image.
 """
 
@@ -15,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 IDAT_BYTES = 1 << 16
@@ -173,7 +176,7 @@ def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(id, n_bytes, media binary): each whole text as a lossless image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             ids, sizes, media = b.column(0).to_pylist(), [], []
             for t in b.column(1):
                 n, payload = payload_of(t.as_py() or "")
@@ -192,7 +195,7 @@ def read_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 2):
             rows = []
             for i, n, m in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if m is None:

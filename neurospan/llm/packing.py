@@ -158,7 +158,10 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> Plan
 
 
 def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids binary]) of whole texts; a text beyond the capacity is cut, its first piece taking what is over."""
+    """(id, piece, start, length, ids_crc32[, ids binary]) of whole texts; a text beyond the capacity is cut, its first piece taking what is over.
+
+    A null text is empty and has the end id alone. Each row, also one without an id or with another's, has pieces of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()

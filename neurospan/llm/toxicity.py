@@ -4,7 +4,8 @@ The channel writes letters as digits or marks, puts marks or blanks between lett
 letters. Its source is a character trigram model; each
 stretch of single letters in a row (SPACED at most) is read as a word, since any blank may end one. Scores come from a sparse logistic model over the
 presence of words and word beginnings in the text and its restored words. Both models are fitted on a
-bounded sample of labelled rows (FIT_TOXIC and FIT_CLEAN rows, the first by a hash of their ids).
+bounded sample of labelled rows (FIT_TOXIC and FIT_CLEAN rows, the first by a hash of their ids, and
+FIT_CHARS characters).
 Null texts count as empty; ids, languages and sources are no inputs of a score.
 """
 
@@ -18,12 +19,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import bounded, tune
 
-FIT_TOXIC, FIT_CLEAN = 3000, 5000
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 3000, 5000, 64_000_000
 PREFIXES = (4, 5, 6, 7, 8, 9)  # bytes of word beginnings
 FEATURES = 6000
 HOLD_OUT = 5
@@ -238,14 +239,19 @@ def is_held_out(id_col: str):
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on labelled rows that aren't held out."""
+    """Fits on labelled rows that aren't held out: the first by a hash of their ids, up to about FIT_CHARS characters.
+
+    Rows that share an id have one label (toxic, if any says so) and count once, with the least text.
+    Without documents or labels every score is the smoothed share of toxic rows.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     known = known.where(~is_held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("id"), F.col("id")]
     chosen = known.where("y = 1").orderBy(*order).limit(FIT_TOXIC).union(known.where("y = 0").orderBy(*order).limit(FIT_CLEAN))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y").collect()
-    return train([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))])
-
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    before = F.coalesce(F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of so few rows
+    rows = rows.withColumn("before", before).where(F.col("before") < FIT_CHARS).select("id", "text", "y").collect()
+    return train([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["id"])])
 
 
 def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +261,7 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for b in batches:
+        for b in bounded(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py() or "") for t in b.column(1)], pa.float64())], names=["id", "score"])
 
     got = df.select(df[id_col].cast("long").alias("id"), df[text_col]).mapInArrow(run, "id long, score double")
@@ -269,7 +275,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = 0.5, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for b in batches:
+        for b in bounded(batches, at):
             yield b.filter(pa.array([scorer.score(t.as_py() or "") < threshold for t in b.column(at)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
