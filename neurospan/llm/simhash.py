@@ -77,59 +77,63 @@ def neighbours(queries: DataFrame, corpus: DataFrame, radius: int = 3, blocks: i
     return both.where((F.bit_count(differ) <= radius) & (F.col("t") == first)).select("query", "other")
 
 
-BLOCK = 1 << 16
+KEYS = ["o", "z", "p", "n"]  # of a class of like rows: id (the least long for null), whether it isn't null, text's hash, code points
+CHUNK = 1 << 16
 
 
-def successors(ids: DataFrame, id_col: str) -> DataFrame:
-    """(id, next) in ascending order, the first after the last; ids are distinct and not null.
+def successors(classes: DataFrame) -> DataFrame:
+    """(KEYS, next struct of KEYS) of distinct classes in ascending order, the first after the last.
 
-    Ids are dealt by their high bits; the first ids of these blocks are ordered in the same way once
-    more, and only the first ids of the blocks of blocks meet in one task.
+    Classes are sorted by ranges, which a written table keeps apart; only the first ones of ranges, as
+    many as there are shuffle partitions, meet in one task.
     """
-    own = ids.select(F.col(id_col).alias("id"))
-
-    def level(df: DataFrame, width: int) -> DataFrame:
-        by = Window.partitionBy(F.floor(F.col("id") / F.lit(width))).orderBy("id")
-        return df.select("id", F.lead("id").over(by).alias("next"), F.floor(F.col("id") / F.lit(width)).alias("block"))
+    from .common import materialize
 
-    low = level(own, BLOCK)
-    heads = low.groupBy("block").agg(F.min("id").alias("id"))
-    mid = level(heads.select("id"), BLOCK * BLOCK)
-    tops = mid.groupBy("block").agg(F.min("id").alias("id"))
-    over = Window.orderBy("id")
-    whole = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = tops.select(F.col("block"), F.coalesce(F.lead("id").over(over), F.first("id").over(whole)).alias("after"))
-    mid = mid.join(last, "block").select(F.floor(F.col("id") / F.lit(BLOCK)).alias("block"), F.coalesce("next", "after").alias("after"))
-    return low.join(mid, "block").select("id", F.coalesce("next", "after").alias("next"))
+    own = F.struct(*KEYS)
+    ranges = materialize(classes.select(*KEYS).repartitionByRange(*KEYS).withColumn("range", F.spark_partition_id()))
+    low = ranges.select(*KEYS, "range", F.lead(own).over(Window.partitionBy("range").orderBy(*KEYS)).alias("next"))
+    heads = ranges.groupBy("range").agg(F.min(own).alias("head"))
+    whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = heads.select("range", F.coalesce(F.lead("head").over(Window.orderBy("range")), F.first("head").over(whole)).alias("after"))
+    return low.join(F.broadcast(after), "range").select(*KEYS, F.coalesce("next", "after").alias("next"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, next, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint) of each id.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint) of each row.
 
     In the edited text the last quarter of the code points (rounded down) is replaced by as many of the
-    next document's first, in ascending id order, the first following the last. Rows without an id are
-    left out; of rows that share an id one text counts. Null texts are empty.
+    next document's first, in ascending id order, the first following the last. Rows without an id come
+    first, rows that share one follow each other by their texts' hashes; of rows like in both, each but
+    the last is followed by its like. Null texts are empty. An empty table gives no rows.
     """
     from .common import materialize
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slim = rows.select("id", F.struct(F.xxhash64("text").alias("pick"), F.length("text").alias("n")).alias("own")).groupBy("id").agg(F.min("own").alias("own"))
-    slim = materialize(slim.select("id", "own.pick", F.col("own.n").cast("long").alias("n_chars")))
-    ring = materialize(successors(slim.select("id"), "id"))
-    wanted = ring.join(slim.hint("merge"), "id").select(F.col("next").alias("id"), F.col("id").alias("prev"), F.floor(F.col("n_chars") / 4).cast("int").alias("want"))
-    # an XOR, because an equality would become a join key, and texts be dealt by it as well as by id
-    dealt = rows.join(slim.hint("merge"), "id").where(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0).select("id", "text")
-    heads = dealt.join(wanted, "id").select(F.col("prev").alias("id"), F.substring("text", F.lit(1), F.col("want")).alias("head"))
-    size = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), size - F.floor(size / 4).cast("int")), F.col("head"))
-    both = dealt.join(heads, "id").select("id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))
-    each = both.select("id", "n_chars", F.sha2("edited", 256).alias("sha"), F.inline(kinds))
-    prints = fingerprints(each, ["id", "n_chars", "sha", "kind"])
-    one = prints.groupBy("id").agg(F.min("n_chars").alias("n_chars"), F.min("sha").alias("edited_sha256"), *(F.min(F.when(F.col("kind") == k, F.col("fingerprint"))).alias(n) for k, n in ((0, "fingerprint"), (1, "edited_fingerprint"))))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select(F.coalesce("id", F.lit(-(1 << 63))).alias("o"), F.col("id").isNotNull().alias("z"), F.xxhash64("text").alias("p"), F.length("text").alias("n"), "text")
+    classes = materialize(rows.groupBy(*KEYS).agg(F.count("*").alias("copies")))
+    ring = materialize(successors(classes))
+    size = F.col("n")
+    quarter = F.floor(size / 4).cast("int")
+    dealt = rows.groupBy(*KEYS).agg(F.first("text").alias("text"))
+    wanted = ring.select("next.*", F.struct(*KEYS).alias("prev"), quarter.alias("want"))
+    heads = dealt.join(wanted, KEYS).select("prev.*", F.substring("text", F.lit(1), F.col("want")).alias("head"))
+    kept = F.substring("text", F.lit(1), size - quarter)
+    both = dealt.join(heads, KEYS).join(classes.hint("merge"), KEYS)
+    kinds = [F.col("text"), F.concat(kept, F.col("head")), F.when(F.col("copies") > 1, F.concat(kept, F.substring("text", F.lit(1), quarter)))]
+    kinds = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in enumerate(kinds))), lambda x: x["text"].isNotNull())
+    each = both.select(*KEYS, "copies", F.inline(kinds)).withColumn("sha", F.when(F.col("kind") > 0, F.sha2("text", 256)))
+    prints = fingerprints(each, [*KEYS, "copies", "kind", "sha"])
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    one = prints.groupBy(*KEYS, "copies").agg(of(0, "fingerprint").alias("fingerprint"), *(of(k, c).alias(f"{c}{k}") for k in (1, 2) for c in ("fingerprint", "sha")))
     one = materialize(one)
-    after = one.select(F.col("id").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
-    return one.join(ring.hint("merge"), "id").join(after.hint("merge"), "next").select(F.col("id").alias(id_col), "next", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
+    after = one.select(F.struct(*KEYS).alias("next"), F.col("fingerprint").alias("next_fingerprint"))
+    ended = one.join(ring.hint("merge"), KEYS).join(after.hint("merge"), "next")
+    last = ended.select(*KEYS, F.col("sha1").alias("edited_sha256"), "fingerprint", F.col("fingerprint1").alias("edited_fingerprint"), "next_fingerprint")
+    like = one.where("copies > 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 2) / CHUNK))).alias("chunk"))
+    like = like.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col("copies") - 1 - F.col("chunk") * CHUNK))).alias("copy"))
+    like = like.select(*KEYS, F.col("sha2").alias("edited_sha256"), "fingerprint", F.col("fingerprint2").alias("edited_fingerprint"), F.col("fingerprint").alias("next_fingerprint"))
+    rows = last.unionByName(like)
+    return rows.select(F.when(F.col("z"), F.col("o")).alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
 
 
 def counts_within(prints: DataFrame, wanted: Column, radius: int = 3) -> DataFrame:
@@ -137,4 +141,4 @@ def counts_within(prints: DataFrame, wanted: Column, radius: int = 3) -> DataFra
     classes = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
     asked = prints.where(wanted).select("fingerprint").distinct()
     near = neighbours(asked, classes.select("fingerprint"), radius)
-    return near.join(classes.withColumnRenamed("fingerprint", "other"), "other").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n_within"))
+    return near.join(classes.withColumnRenamed("fingerprint", "other").hint("merge"), "other").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n_within"))

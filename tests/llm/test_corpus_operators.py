@@ -107,27 +107,37 @@ def simhash_of(spark, text):
     return simhash.fingerprints(spark.createDataFrame([(1, text)], "k int, text string"), ["k"]).first().fingerprint
 
 
+def edited_brute(spark, rows):
+    """(id, n_chars, sha, fingerprint, edited_fingerprint, next_fingerprint) of (id, text) rows, sorted."""
+    keyed = spark.createDataFrame([(k, i, t or "") for k, (i, t) in enumerate(rows)], "k int, i long, t string").selectExpr("k", "i", "t", "xxhash64(t) AS p").collect()
+    order = sorted(keyed, key=lambda r: (r.i is not None, r.i or 0, r.p))
+    texts = [(r.i, r.t) for r in order]
+    edited = [t[: len(t) - len(t) // 4] + texts[(k + 1) % len(texts)][1][: len(t) // 4] for k, (_, t) in enumerate(texts)]
+    both = [t for _, t in texts] + edited
+    prints = dict(tuple(r) for r in simhash.fingerprints(spark.createDataFrame(list(enumerate(both)), "k int, text string"), ["k"]).collect())
+    n = len(texts)
+    return sorted(((i, len(t), hashlib.sha256(edited[k].encode()).hexdigest(), prints[k], prints[n + k], prints[(k + 1) % n]) for k, (i, t) in enumerate(texts)), key=str)
+
+
 def test_edited_texts(spark):
-    texts = {5: "the quick brown fox jumps over the lazy dog", 70000: "é" * 10, 70001: "", 9_000_000_000: "the last one of all these texts", 12: "ab"}
-    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()] + [(None, "x", 1)], "doc_id long, text string, n int")
-    got = {r.doc_id: r for r in simhash.edited_fingerprints(df.withColumn("text", F.when(F.col("doc_id") != 70001, F.col("text")))).collect()}
-    ids = sorted(texts)
-    assert sorted(got) == ids
-    for a, b in zip(ids, ids[1:] + ids[:1]):
-        k = len(texts[a]) // 4
-        edited = texts[a][: len(texts[a]) - k] + texts[b][:k]
-        assert (got[a].next, got[a].n_chars, got[a].edited_sha256) == (b, len(texts[a]), hashlib.sha256(edited.encode()).hexdigest())
-        assert got[a].edited_fingerprint == simhash_of(spark, edited) and got[a].fingerprint == simhash_of(spark, texts[a]) and got[a].next_fingerprint == got[b].fingerprint
+    """Null and repeated ids, repeated rows, null, empty and long texts: every row has its result."""
+    rows = [(5, "the quick brown fox jumps over the lazy dog"), (70000, "é" * 10), (70001, None), (9_000_000_000, "the last one of all these texts"), (12, "ab"), (None, "x y z w"), (None, "other words here")]
+    rows += [(12, "another text of twelve")] + 3 * [(13, "one and the same row, three times over")] + 2 * [(None, "null ids, like rows")] + [(-4, "word " * 20000)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n int, kind int")
+    got = sorted((tuple(r) for r in simhash.edited_fingerprints(df).collect()), key=str)
+    assert got == edited_brute(spark, rows)
     assert simhash.edited_fingerprints(df.limit(0)).count() == 0
     alone = simhash.edited_fingerprints(df.where("doc_id = 5")).first()
-    assert alone.next == 5
+    assert alone.next_fingerprint == alone.fingerprint
 
 
 def test_successors_match_sorting(spark):
     r = random.Random(2)
     ids = sorted({r.randrange(-(1 << 40), 1 << 40) for _ in range(200)} | set(range(300, 500)))
-    got = dict(tuple(x) for x in simhash.successors(spark.createDataFrame([(i,) for i in ids], "doc_id long"), "doc_id").collect())
-    assert got == dict(zip(ids, ids[1:] + ids[:1]))
+    classes = spark.createDataFrame([(i, True, p, 3) for i in ids for p in (1, 2)], "o long, z boolean, p long, n int")
+    got = {(r.o, r.p): (r.next.o, r.next.p) for r in simhash.successors(classes).collect()}
+    want = [(i, p) for i in ids for p in (1, 2)]
+    assert got == dict(zip(want, want[1:] + want[:1]))
 
 
 @pytest.mark.parametrize("radius,blocks", [(1, 3), (3, 6)])
