@@ -1,11 +1,13 @@
 """Best-fit packing of documents into sequences by a linear grouping scheme over lengths.
 
 Only a histogram of lengths (no longer than the capacity) comes to the driver. There large lengths are
-rounded up to the largest of their group, groups being of equal cardinality as far as ties allow;
-configurations of the few sizes are chosen, each with a multiplicity; small lengths are then placed by
-best fit into the room that configurations leave. The plan is a list of runs of like sequences, its size
-bounded by the capacity and the number of groups. Documents take the slots of their class by rank, ranks
-being counted within hash buckets of each class, so that no class meets in one task.
+rounded up to the largest of their group, groups being of equal cardinality as far as ties allow. Over
+these few sizes configurations and how often each is used are optimised as a linear program, by column
+generation; whole multiples are kept and the rest is completed greedily. Then the actual lengths are
+substituted for the sizes, and small lengths are placed by best fit into the room that is left. The plan
+is a list of runs of like sequences, its size bounded by the capacity and the number of groups.
+Documents take the slots of their length by rank, ranks being counted within hash buckets of each
+length, so that no length meets in one task.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import bounded, materialize
 from .planes import hf_ids
 
-GROUPS = 1536  # sizes that configurations are made of, at most
-SMALL = 16  # lengths below capacity / SMALL are small
+GROUPS = 128  # sizes that configurations are made of, at most
+ROUNDS = 600  # of column generation, at most
+SMALL = (3, 16)  # lengths below capacity / SMALL are small; the plan of fewest sequences is taken
 BUCKET_ROWS = 50_000  # rows of a class are ranked in buckets of about so many at most
 
 
@@ -40,8 +43,7 @@ class Run:
 
 @dataclass
 class Plan:
-    size_of: np.ndarray  # length to size class
-    slots: dict[int, np.ndarray]  # class to rows (first rank, first sequence, copies, first place)
+    slots: dict[int, np.ndarray]  # length to rows (first rank, first sequence, copies, first place)
     sequences: int
 
 
@@ -98,6 +100,101 @@ def configurations(counts: np.ndarray, capacity: int) -> list[Run]:
         at += times
 
 
+def _best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """Copies of each size that fit together and are worth most at these prices."""
+    value, steps = np.zeros(capacity + 1), []
+    for s, p in zip(sizes.tolist(), price.tolist()):
+        steps.append(value)
+        if p > 0:
+            best = value.copy()
+            for k in range(1, capacity // s + 1):
+                np.maximum(best[k * s :], value[: capacity + 1 - k * s] + k * p, out=best[k * s :])
+            value = best
+    copies, w = np.zeros(len(sizes)), capacity
+    for i in range(len(sizes) - 1, -1, -1):
+        s, p, before = int(sizes[i]), float(price[i]), steps[i]
+        if value[w] > before[w] + 1e-12:
+            k = np.arange(w // s + 1)
+            copies[i] = n = int(np.argmax(before[w - k * s] + k * p))
+            w -= n * s
+        value = before
+    return copies
+
+
+def optimised(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
+    """(times, configuration): the whole parts of a least fractional cover of counts by configurations.
+
+    Simplex steps from the greedy cover on, in which each configuration uses up a size; the next one to
+    enter is the best at the prices of the sizes, found by dynamic programming over the capacity.
+    """
+    sizes = np.flatnonzero(counts)
+    if not len(sizes):
+        return []
+    basis, x = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes))
+    left, place = counts.astype(float), {int(s): i for i, s in enumerate(sizes)}
+    for largest in sizes[::-1].tolist():
+        while left[largest] > 0:
+            items = {largest: 1}
+            room = capacity - largest
+            while room > 0 and (more := _completion(left, room)):
+                for s in more:
+                    items[s] = items.get(s, 0) + 1
+                    room -= s
+            used = min(items, key=lambda s: left[s] / items[s])
+            times = left[used] / items[used]
+            for s, c in items.items():
+                left[s] = max(0.0, left[s] - c * times)
+            left[used] = 0
+            x[place[used]] = times
+            for s, c in items.items():
+                basis[place[s], place[used]] = c
+    for j in np.flatnonzero(basis.sum(axis=0) == 0):  # sizes used up together with others
+        basis[j, j] = 1
+    for _ in range(rounds):
+        price = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        enter = _best_configuration(sizes, price, capacity)
+        if price @ enter < 1 + 1e-6:
+            break
+        change = np.linalg.solve(basis, enter)
+        able = np.flatnonzero(change > 1e-9)
+        ratio = x[able] / change[able]
+        leave, step = able[np.argmin(ratio)], ratio.min()
+        x = np.maximum(x - step * change, 0)
+        x[leave], basis[:, leave] = step, enter
+    times = np.floor(x + 1e-6).astype(np.int64)
+    return [(int(n), {int(s): int(c) for s, c in zip(sizes, basis[:, j]) if c}) for j, n in enumerate(times) if n]
+
+
+def substituted(runs: list[Run], counts: np.ndarray, size_of: np.ndarray, capacity: int) -> list[Run]:
+    """Runs with actual lengths in place of sizes, the largest of each first, and the room that these leave."""
+    queue: dict[int, list[list[int]]] = {}
+    for n in np.flatnonzero(counts):
+        queue.setdefault(int(size_of[n]), []).append([int(n), int(counts[n])])
+    out = []
+    for r in runs:
+        first, count = r.first, r.count
+        while count:
+            # as many sequences as the first lengths of all sizes last; or one of several lengths of a size
+            whole = min(queue[s][-1][1] // c for s, c in r.items)
+            times, items = min(count, max(1, whole)), {}
+            for s, c in r.items:
+                need = c * times
+                while need:
+                    n, left = queue[s][-1]
+                    took = min(need, left)
+                    if whole:
+                        items[n] = items.get(n, 0) + c
+                    else:
+                        items[n] = items.get(n, 0) + took
+                    queue[s][-1][1] -= took
+                    if not queue[s][-1][1]:
+                        queue[s].pop()
+                    need -= took
+            out.append(Run(first, times, tuple(items.items()), capacity - sum(n * c for n, c in items.items())))
+            first, count = first + times, count - times
+    return out
+
+
 def best_fit(runs: list[Run], counts: np.ndarray, capacity: int) -> list[Run]:
     """Places small sizes, largest first, each into the least room that takes it."""
     rooms: list[list[Run]] = [[] for _ in range(capacity + 1)]
@@ -135,17 +232,28 @@ def best_fit(runs: list[Run], counts: np.ndarray, capacity: int) -> list[Run]:
 
 
 def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> Plan:
+    """Lengths (1 to the capacity) with their counts to places in sequences; the same histogram always has the same plan."""
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in histogram.items():
         if not 0 < n <= capacity:
             raise ValueError(f"length {n} isn't in 1..{capacity}")
         counts[n] = c
-    cut = max(1, capacity // SMALL)
+    return min((_plan(counts, capacity, groups, max(1, capacity // s)) for s in SMALL), key=lambda p: p.sequences)
+
+
+def _plan(counts: np.ndarray, capacity: int, groups: int, cut: int) -> Plan:
     large, small = counts.copy(), counts.copy()
     large[:cut], small[cut:] = 0, 0
     size_of = grouped(large, groups)
     sizes = np.bincount(size_of, weights=large, minlength=capacity + 1).astype(np.int64)
-    runs = best_fit(configurations(sizes, capacity), small, capacity)
+    runs, at = [], 0
+    for times, items in optimised(sizes, capacity):
+        runs.append(Run(at, times, tuple(items.items()), 0))
+        at += times
+        for s, c in items.items():
+            sizes[s] -= c * times
+    runs += [Run(at + r.first, r.count, r.items, r.room) for r in configurations(sizes, capacity)]
+    runs = best_fit(substituted(runs, large, size_of, capacity), small, capacity)
     slots: dict[int, list] = {}
     held: dict[int, int] = {}
     for r in sorted(runs, key=lambda r: r.first):
@@ -154,7 +262,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> Plan
             slots.setdefault(s, []).append((held.get(s, 0), r.first, c, place))
             held[s] = held.get(s, 0) + r.count * c
             place += c
-    return Plan(size_of, {s: np.array(x, np.int64) for s, x in slots.items()}, sum(r.count for r in runs))
+    return Plan({s: np.array(x, np.int64) for s, x in slots.items()}, sum(r.count for r in runs))
 
 
 def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -194,11 +302,10 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], groups: int = GROUP
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     made = plan(histogram, capacity, groups)
-    held = spark.sparkContext.broadcast((made.size_of, made.slots))
+    held = spark.sparkContext.broadcast(made.slots)
     buckets = max(16, sum(histogram.values()) // BUCKET_ROWS)
 
-    size_of = F.element_at(F.array(*(F.lit(int(x)) for x in made.size_of[1:])), F.col("length").cast("int"))
-    keyed = pieces.withColumn("_class", size_of).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    keyed = pieces.withColumn("_class", F.col("length").cast("int")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     per = keyed.groupBy("_class", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("_class", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -207,7 +314,7 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], groups: int = GROUP
 
     @F.pandas_udf("sequence_id long, place int")
     def slot(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        slots = held.value[1]
+        slots = held.value
         seq, place = np.zeros(len(size), np.int64), np.zeros(len(size), np.int32)
         sizes, ranks = size.to_numpy(), rank.to_numpy()
         for s in np.unique(sizes).tolist():
