@@ -186,17 +186,23 @@ def lattice_line(z0, y0, x0, z1, y1, x1) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n), lambda t: F.struct(*(at(t, a, b).alias(k) for k, (a, b) in zip(AXES, ends))))
 
 
-def mix32(c) -> Column:
-    """32-bit avalanche of a value's low bits as LONG; products stay below 2^63 by 16-bit halves."""
+# Factors and addend of the public 32-bit hash by which viewers colour segments.
+_FACTORS, _ADDEND = (0xCC9E2D51, 0x1B873593), 0xE6546B64
+_WORD = 0xFFFFFFFF
+
+
+def hash_combine(state, value) -> Column:
+    """32-bit hash (as LONG) of a state and a value's low bits; products stay below 2^63 by 16-bit halves."""
 
     def times(x: Column, m: int) -> Column:
         low, high = x.bitwiseAND(F.lit(0xFFFF)), F.shiftright(x, 16)
-        return (low * m + F.shiftleft((high * m).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+        return (low * m + F.shiftleft((high * m).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_WORD))
+
+    def turned(x: Column, n: int) -> Column:
+        return F.shiftleft(x, n).bitwiseOR(F.shiftright(x, 32 - n)).bitwiseAND(F.lit(_WORD))
 
-    h = _long(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    h = times(h.bitwiseXOR(F.shiftright(h, 16)), 0x85EBCA6B)
-    h = times(h.bitwiseXOR(F.shiftright(h, 13)), 0xC2B2AE35)
-    return h.bitwiseXOR(F.shiftright(h, 16))
+    v = times(turned(times(_long(value).bitwiseAND(F.lit(_WORD)), _FACTORS[0]), 15), _FACTORS[1])
+    return (turned(_long(state).bitwiseAND(F.lit(_WORD)).bitwiseXOR(v), 13) * 5 + _ADDEND).bitwiseAND(F.lit(_WORD))
 
 
 def pack_color(r, g, b) -> Column:
@@ -208,20 +214,20 @@ def unpack_color(c) -> tuple[Column, Column, Column]:
 
 
 def hsv_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
-    """Hue, saturation, value in 0..1 to bytes."""
+    """Hue, saturation, value in 0..1 to red, green, blue in 0..1."""
     i = F.floor(h * 6)
     f = h * 6 - i
     p, q, t, k = v * (1 - s), v * (1 - s * f), v * (1 - s * (1 - f)), F.pmod(i, F.lit(6))
     table = [(v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q)]
     pick = lambda n: reduce(lambda c, j: c.when(k == j, table[j][n]), range(1, 6), F.when(k == 0, table[0][n]))
-    return tuple(F.floor(pick(n) * 255).cast("int") for n in range(3))
+    return tuple(pick(n) for n in range(3))
 
 
 def color_of_id(c, seed: int = 0) -> Column:
-    """Packed colour of an id: hue and saturation from its hash."""
-    h = mix32(mix32(_long(c)).bitwiseXOR(mix32(F.shiftright(_long(c), 32) + seed)))
-    hue = h.bitwiseAND(F.lit(255)) / 255.0
-    return pack_color(*hsv_to_rgb(hue, 0.5 + 0.5 * F.shiftright(h, 8).bitwiseAND(F.lit(255)) / 255.0, F.lit(1.0)))
+    """Packed colour of an id as a viewer with this colour seed shows it: hue and saturation from the hash of both halves."""
+    h = hash_combine(hash_combine(F.lit(seed), c), F.shiftright(_long(c), 32))
+    byte = lambda k: F.shiftright(h, k).bitwiseAND(F.lit(255)) / F.lit(255.0)
+    return pack_color(*(F.rint(x * 255) for x in hsv_to_rgb(byte(0), F.lit(0.5) + F.lit(0.5) * byte(8), F.lit(1.0))))
 
 
 def hex_color(c) -> Column:

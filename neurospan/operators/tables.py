@@ -46,18 +46,20 @@ def suffixed_pairs(columns: list[str], suffixes: tuple[str, str] = ("_a", "_b"))
     return [(c, c[: -len(a)] + b) for c in columns if c.endswith(a) and c[: -len(a)] + b in columns]
 
 
+def _ranged(df: DataFrame, order: list[str], buckets: int) -> DataFrame:
+    """Rows with _bucket, the number of their range by all order columns. They are written, so that ranges stay as they are."""
+    from .graph import settle
+
+    n = buckets or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return settle(df.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id()))
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "n", buckets: int = 0) -> DataFrame:
-    """Adds a dense row number from 0 in an order, without dealing all rows to one task.
+    """Adds a dense row number from 0 in an order of any types, nulls first, without dealing all rows to one task.
 
-    Ranges of the first order column are numbered apart; only their counts are summed in one place.
+    Ranges of the order columns are numbered apart; only their counts are summed in one place.
     """
-    spark = df.sparkSession
-    n = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = df.stat.approxQuantile(order[0], [i / n for i in range(1, n)], 0.01) if dict(df.dtypes)[order[0]] in ("int", "bigint", "double", "float", "smallint", "tinyint") else []
-    edges = sorted(set(bounds))
-    bucket = F.size(F.filter(F.array(*(F.lit(float(b)) for b in edges)), lambda b: b < F.col(order[0]).cast("double"))) if edges else F.lit(0)
-    bucket = F.coalesce(bucket, F.lit(-1))
-    rows = df.withColumn("_bucket", bucket)
+    rows = _ranged(df, order, buckets)
     counts = rows.groupBy("_bucket").agg(F.count("*").alias("_c"))
     ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("_bucket", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_base"))
@@ -67,11 +69,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", buckets: int = 0)
 
 def running_sum(df: DataFrame, order: list[str], values: dict[str, Column], buckets: int = 0) -> DataFrame:
     """Adds running sums over a global order by a two-level prefix sum: within ranges, and over ranges' totals."""
-    spark = df.sparkSession
-    n = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = sorted(set(df.stat.approxQuantile(order[0], [i / n for i in range(1, n)], 0.01)))
-    bucket = F.coalesce(F.size(F.filter(F.array(*(F.lit(float(b)) for b in edges)), lambda b: b < F.col(order[0]).cast("double"))), F.lit(-1)) if edges else F.lit(0)
-    rows = df.withColumn("_bucket", bucket).withColumns({f"_v_{k}": v for k, v in values.items()})
+    rows = _ranged(df.withColumns({f"_v_{k}": v for k, v in values.items()}), order, buckets)
     totals = rows.groupBy("_bucket").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values))
     ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("_bucket", *(F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_b_{k}") for k in values))

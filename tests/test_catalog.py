@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from neurospan import catalog
+from neurospan import catalog, catalog_space
+
+QUERIES, ORACLES = catalog.QUERIES | catalog_space.QUERIES, catalog.ORACLES | catalog_space.ORACLES
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,14 +30,14 @@ def shape(v):
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = df.collect()
-    if name not in catalog.ORACLES:
+    if name not in ORACLES:
         assert got
         return
-    want = duck.sql(catalog.ORACLES[name])
+    want = duck.sql(ORACLES[name])
     assert sorted(want.columns) == sorted(df.columns)
     order, at = sorted(df.columns), {c: i for i, c in enumerate(want.columns)}
     key = lambda t: repr(t)
