@@ -3,9 +3,9 @@
 The channel writes letters as digits or marks, puts marks or blanks between letters, and repeats
 letters. Its source is a character trigram model; each
 stretch of single letters in a row (SPACED at most) is read as a word, since any blank may end one. Scores come from a sparse logistic model over the
-presence of words and word beginnings in the text and its restored words. Both models are fitted on a
-bounded sample of labelled rows (FIT_TOXIC and FIT_CLEAN rows, the first by a hash of their ids, and
-FIT_CHARS characters).
+presence of words and word beginnings in the text and its restored words. The character model counts
+the words of all texts, by a grouped aggregation; the logistic one is fitted on a bounded sample of
+labelled rows (FIT_TOXIC and FIT_CLEAN rows, the first by a hash of their ids, and FIT_CHARS characters).
 Null texts count as empty; ids, languages and sources are no inputs of a score.
 """
 
@@ -40,6 +40,9 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$|€](?=\s))(?:[\s.\-_*]{1,3}(?:[^\W_
 _CORE = re.compile(r"^[^\w@$|!€]+|[^\w@$€]+$")
 _TWICE = re.compile(r"([^\W\d_])\1")
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+HELD_WORDS, PARTS = 100_000, 1024  # words a task counts at a time; parts of one in sums of roots
 SIDE = 64  # letters of the trigram model: 0 is a word's edge, 1..26 a..z, the rest others by their code
 
 
@@ -160,13 +163,41 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _trigram(texts: list[str]) -> np.ndarray:
-    counts = np.full((SIDE, SIDE, SIDE), 0.05)
-    seen = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
-    for w, n in seen.items():
-        s = [0, 0, *map(_letter, w), 0]
-        for a, b, c in zip(s, s[1:], s[2:]):
-            counts[a, b, c] += math.sqrt(n)
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of a task's texts; counts are handed on before there are too many words."""
+    seen: Counter = Counter()
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+    for b in bounded(batches, 0):
+        for t in b.column(0):
+            seen.update(_LETTERS.findall((t.as_py() or "").lower()))
+            if len(seen) >= HELD_WORDS:
+                yield out()
+                seen.clear()
+    yield out()
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n) of words and their counts: a word counts by its root, in whole parts, so that sums don't depend on their order."""
+    cells: Counter = Counter()
+    for b in batches:
+        for w, n in zip(b.column(0), b.column(1)):
+            s, part = [0, 0, *map(_letter, w.as_py()), 0], round(PARTS * math.sqrt(n.as_py()))
+            for x, y, z in zip(s, s[1:], s[2:]):
+                cells[(x * SIDE + y) * SIDE + z] += part
+    yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int32()), pa.array(list(cells.values()), pa.int64())], names=["cell", "n"])
+
+
+def character_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Log probability of a letter after two, over the words of all texts. SIDE^3 sums at most come to the driver.
+
+    Null texts have no words; repeated rows count again; without words all letters are alike.
+    """
+    tune(df.sparkSession)
+    words = df.select(df[text_col]).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = words.mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.full(SIDE**3, 0.05)
+    counts[sums["cell"].to_numpy()] += sums["n"].to_numpy() / PARTS
+    counts = counts.reshape(SIDE, SIDE, SIDE)
     return np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
@@ -174,11 +205,11 @@ def _features(words: set[bytes]) -> set[tuple[int, bytes]]:
     return {(0, w) for w in words} | {(k, w[:k]) for k in PREFIXES for w in words if len(w) > k}
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 300, weight: float = 4e-4) -> Model:
-    """A model from (text, toxic) rows; without rows of both kinds, every score is the smoothed share of toxic ones."""
+def train(rows: list[tuple[str, int]], trigram: np.ndarray, rounds: int = 300, weight: float = 4e-4) -> Model:
+    """A model from (text, toxic) rows and a character model; without rows of both kinds, every score is the smoothed share of toxic ones."""
     toxic = sum(y for _, y in rows)
     clean = len(rows) - toxic
-    model = Model(math.log((toxic + 0.5) / (clean + 9.5)), {}, {}, _trigram([t for t, _ in rows]))
+    model = Model(math.log((toxic + 0.5) / (clean + 9.5)), {}, {}, trigram)
     if not toxic or not clean:
         return model
     draft = Scorer(model)
@@ -239,7 +270,9 @@ def is_held_out(id_col: str):
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on labelled rows that aren't held out: the first by a hash of their ids, up to about FIT_CHARS characters.
+    """Fits scores on labelled rows that aren't held out: the first by a hash of their ids, up to about FIT_CHARS characters.
+
+    The character model reads all texts, without labels.
 
     Rows that share an id have one label (toxic, if any says so) and count once, with the least text.
     Without documents or labels every score is the smoothed share of toxic rows.
@@ -251,7 +284,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     before = F.coalesce(F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of so few rows
     rows = rows.withColumn("before", before).where(F.col("before") < FIT_CHARS).select("id", "text", "y").collect()
-    return train([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["id"])])
+    return train([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["id"])], character_model(df, text_col))
 
 
 def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

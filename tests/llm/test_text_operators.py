@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -268,10 +269,96 @@ def test_held_out_rule(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())
 
 
-def test_toxicity_restores_spaced_and_doubled_words():
-    model = toxicity.train([(t, y) for _, t, y in _toxic_rows(600)])
+def test_toxicity_restores_spaced_and_doubled_words(spark):
+    rows = _toxic_rows(600)
+    texts = spark.createDataFrame([(t,) for _, t, _ in rows], "text string")
+    model = toxicity.train([(t, y) for _, t, y in rows], toxicity.character_model(texts))
     words = toxicity.Scorer(model).words_of
     for text in ("kano you are a w r e t c h", "I w r e t c h", "y o u w r e t c h", "w r e t c h y o u", "a w r 3 t c h losa", "w\nr\ne\nt\nc\nh", "kano wreetch losa", "wr€tch", "w r € t c h"):
         assert b"wretch" in words(text), text
     assert b"ass" in words("a s s") and b"no" in words("kano n o")
     assert not toxicity.suspicious("kano a losa 1 2 3")
+
+
+def test_character_model_counts_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 3)
+    texts = ["Kano losa kano", None, "", "kano x1y wr\u20actch", "kano losa", "kano losa"]
+    df = spark.createDataFrame([(t, "clash") for t in texts], "text string, word string").repartition(4)
+    got = toxicity.character_model(df)
+    counts = np.full((toxicity.SIDE,) * 3, 0.05)
+    words = {}
+    for t in texts:
+        for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split():
+            words[w] = words.get(w, 0) + 1
+    for w, n in words.items():
+        code = [0, 0] + [ord(c) - 96 for c in w] + [0]
+        for i in range(2, len(code)):
+            counts[code[i - 2], code[i - 1], code[i]] += round(1024 * n**0.5) / 1024
+    assert np.allclose(got, np.log(counts / counts.sum(axis=2, keepdims=True)))
+    assert np.allclose(toxicity.character_model(df.limit(0)), -np.log(toxicity.SIDE))
+
+
+def test_viterbi_matches_enumeration(spark):
+    texts = spark.createDataFrame([(t,) for _, t, _ in _toxic_rows(200)], "text string")
+    tri = toxicity.character_model(texts)
+
+    def all_readings(token):
+        paths = [("", 0.0)]
+        for c in token:
+            after = []
+            for word, cost in paths:
+                code = [0, 0] + [ord(x) - 96 for x in word]
+                price = lambda x: -tri[code[-2], code[-1], ord(x) - 96]  # noqa: B023, E731
+                if c.isalpha():
+                    after.append((word + c, cost + price(c)))
+                    if word.endswith(c):
+                        after.append((word, cost + 0.5))
+                else:
+                    after += [(word + x, cost + 1.5 + price(x)) for x in toxicity.LEET.get(c, "")]
+                    after.append((word, cost + (0.5 if toxicity.LEET.get(c, c) == "" else 7.0)))
+                    if word.endswith(c):
+                        after.append((word, cost + 0.5))
+            paths = after
+        ends = []
+        for word, cost in paths:
+            code = [0, 0] + [ord(x) - 96 for x in word]
+            ends.append((cost - tri[code[-2], code[-1], 0], word))
+        return ends
+
+    r = random.Random(4)
+    for _ in range(300):
+        token = "".join(r.choice("wretch31.-$|") for _ in range(r.randrange(1, 8)))
+        ends = all_readings(token)
+        word = toxicity.decode(token, tri)
+        assert min(c for c, w in ends if w == word) <= min(ends)[0] + 1e-6, token
+
+
+def test_score_matches_a_recomputation(spark):
+    rows = _toxic_rows(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7, "repeated id"), (None, "kano"), (9100, "x" * 300000)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert model.words or model.begins
+    got = toxicity.score_texts(docs, model).collect()
+    want = []
+    for d in docs.collect():
+        words = {w.encode() for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in d.text.lower()).split()}
+        for token in toxicity.suspicious(d.text):
+            words |= {w.encode() for w in model.restored(token).split()}
+        z = model.bias + sum(v for w, v in model.words.items() if w in words)
+        z += sum(v for k, known in model.begins.items() for w, v in known.items() if any(x[:k] == w and len(x) > k for x in words))
+        want.append((d.doc_id, 1 / (1 + np.exp(-z))))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for (a, x), (b, y) in zip(sorted(((g.doc_id, g.score) for g in got), key=key), sorted(want, key=key), strict=True):
+        assert a == b and abs(x - y) < 1e-9
+
+
+def test_whole_license_texts(spark):
+    bsd = licenses.TEMPLATES["bsd-full"]
+    plain = lambda t, fill, keep: re.sub(r"<<var:\d+>>", fill, re.sub(r"<<optional>>(.*?)<<end>>", r"\1" if keep else "", t))
+    cases = [(label, plain(t, fill, keep)) for label, t in licenses.TEMPLATES.items() if label.endswith("-full") for fill in ("", "Holder") for keep in (True, False)]
+    texts = ["kano " + t.replace("copyright", "Copyright").replace(" in ", " in, ") + " losa" for _, t in cases] + [plain(bsd, "x", True).replace("disclaimed", "claimed"), "z" * 200000, "", None]
+    got = {r.doc_id: {s.label for s in r.spans} for r in licenses.scan_licenses(table(spark, texts)).collect()}
+    assert all(label in got[i] for i, (label, _) in enumerate(cases))
+    assert "bsd-full" not in got[len(cases)] and "bsd-text" in got[len(cases)]
+    assert all(not got[len(cases) + k] for k in (1, 2, 3))
+    assert licenses.scan_licenses(table(spark, texts).limit(0)).count() == 0
