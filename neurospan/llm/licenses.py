@@ -32,6 +32,12 @@ TEMPLATES = {
     "isc-text": "permission to use copy modify <<optional>>and or<<end>> <<optional>>and<<end>> distribute this software for any purpose with or without fee is hereby granted",
     "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "gpl-text": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation <<var:4>> version <<var:1>> of the license",
+    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var:12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-full": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var:1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<var:1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>><<var:1>> neither the name of <<var:16>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<end>> this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "isc-full": "permission to use copy modify <<optional>>and or<<end>> <<optional>>and<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var:8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var:8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "zlib-full": "this software is provided as is without any express or implied warranty in no event will the <<var:4>> be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<var:1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<var:1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<var:1>> this notice may not be removed or altered from any source distribution",
+    "apache-2.0-full": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<var:1>> www apache org licenses license 2.0 <<optional>>txt<<end>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-full": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <<var:1>> of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details <<optional>>you should have received a copy of the gnu general public license along with <<var:3>> if not see<<end>>",
     "copyright-mit": "copyright <<optional>>c<<end>> <<var:12>> <<optional>>all rights reserved<<end>> permission is hereby granted free of charge",
 }
 

@@ -162,8 +162,27 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_ba
 FROM found"""
 
 
+def _op1_sql() -> str:
+    from .chat import CLOSE, OPEN
+
+    return f"""
+WITH c AS (SELECT conv_id, turn, role, text, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last
+ FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+s AS (SELECT conv_id, turn, role, text, 'chosen' AS side FROM c UNION ALL
+ SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND turn = last THEN substring(text, length(text) // 2 + 1) ELSE text END, 'rejected' FROM c),
+t AS (SELECT conv_id, turn, count(DISTINCT coalesce('r' || role, '') || chr(1) || coalesce('t' || text, '')) AS n FROM s GROUP BY ALL),
+cut AS (SELECT conv_id, coalesce(min(turn) FILTER (n > 1), max(turn) + 1) AS cut FROM t GROUP BY ALL),
+r AS (SELECT conv_id, CASE WHEN turn < cut THEN 'prompt' ELSE side END AS part, turn, role,
+  '{OPEN}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{CLOSE.rstrip()}' || chr(10) AS segment
+ FROM s JOIN cut USING (conv_id) WHERE turn >= cut OR side = 'chosen')
+SELECT conv_id, part, turn, role, segment, part <> 'prompt' AND coalesce(role = 'assistant', FALSE) AS learned,
+ CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+ CAST(length(segment) AS BIGINT) AS length
+FROM r"""
+
+
 QUERIES = {f.__name__: f for f in (op1_preferences, op2_license_scan, op3_media, op4_byte_bpe, op5_near_duplicates, op6_token_planes, op7_simhash, op8_packing, op9_toxicity, op10_language)}
-ORACLES = {"op2_license_scan": _op2_sql}
+ORACLES = {"op1_preferences": _op1_sql, "op2_license_scan": _op2_sql}
 
 
 def oracle_sql() -> dict[str, str]:
