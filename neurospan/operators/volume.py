@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, settle
 
 AXES = ("z", "y", "x")
 _FACES = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
@@ -85,7 +85,7 @@ def fill_holes(mask: DataFrame, box: dict[str, tuple[int, int]]) -> DataFrame:
         cells = cells.withColumn(a, F.explode(F.sequence(F.lit(box[a][0] - 1), F.lit(box[a][1]))))
     empty = cells.select(*AXES).join(mask.select(*AXES), list(AXES), "left_anti").withColumn("label", F.lit(1))
     comp = label_components(empty)
-    outside = comp.where(" AND ".join(f"{a} = {box[a][0] - 1}" for a in AXES)).select("component")
+    outside = comp.where(" AND ".join(f"{a} = {box[a][0] - 1}" for a in AXES)).select("component")  # the corner's one row
     return mask.select(*AXES).union(comp.join(F.broadcast(outside), "component", "left_anti").select(*AXES))
 
 
@@ -156,12 +156,12 @@ def closest_approach(voxels: DataFrame, a: int, b: int, label: str = "label") ->
 
 def distances(voxels: DataFrame, most: int, label: str = "label") -> DataFrame:
     """Adds distance: how many steps over faces a voxel is from another label, up to a bound (bound + 1 beyond)."""
-    done = rim = edges(voxels, "both", label).select(*AXES, F.lit(1).alias("distance"))
+    done = rim = settle(edges(voxels, "both", label).select(*AXES, F.lit(1).alias("distance")))
     offsets = _FACES + [tuple(-v for v in t) for t in _FACES]
     inside = voxels.select(*AXES, label)
     for k in range(2, most + 1):
         step = _moved(rim.withColumn("_l", F.lit(0)), offsets, "_l2", "_l").select(*AXES).distinct()
-        rim = inside.join(step, list(AXES), "left_semi").join(done, list(AXES), "left_anti").select(*AXES, F.lit(k).alias("distance"))
+        rim = settle(inside.join(step, list(AXES), "left_semi").join(done, list(AXES), "left_anti").select(*AXES, F.lit(k).alias("distance")))
         done = done.unionByName(rim)
     return voxels.join(done, list(AXES), "left").withColumn("distance", F.coalesce("distance", F.lit(most + 1)))
 
