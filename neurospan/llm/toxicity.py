@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,20 +67,22 @@ Cells = dict[tuple[int, int], tuple[float, str]]
 
 def _step(cells: Cells, c: str, trigram: np.ndarray, leet_cost: float, noise_cost: float, drop_cost: float, repeat_cost: float) -> Cells:
     then: Cells = {}
-
-    def put(state, cost, word):
-        if state not in then or (cost, word) < then[state]:
-            then[state] = (cost, word)
-
-    letters = [(c, 0.0)] if c.isalpha() else [(x, leet_cost) for x in LEET.get(c, "")]
-    for (a, b), (cost, word) in cells.items():
-        for x, extra in letters:
-            k = _letter(x)
-            put((b, k), cost + extra - float(trigram[a, b, k]), word + x)
+    plain, log = c.isalpha(), trigram.item
+    letters = [(c, _letter(c), 0.0)] if plain else [(x, _letter(x), leet_cost) for x in LEET.get(c, "")]
+    for state, (cost, word) in cells.items():
+        a, b = state
+        for x, k, extra in letters:
+            way = (cost + extra - log(a, b, k), word + x)
+            if (b, k) not in then or way < then[b, k]:
+                then[b, k] = way
         if word and c == word[-1]:
-            put((a, b), cost + repeat_cost, word)
-        if not c.isalpha():
-            put((a, b), cost + (drop_cost if LEET.get(c, c) else noise_cost), word)
+            way = (cost + repeat_cost, word)
+            if state not in then or way < then[state]:
+                then[state] = way
+        if not plain:
+            way = (cost + (drop_cost if LEET.get(c, c) else noise_cost), word)
+            if state not in then or way < then[state]:
+                then[state] = way
     return then or cells
 
 
@@ -115,51 +117,74 @@ def readings(row: list[str], trigram: np.ndarray, leet_cost: float = 1.5, noise_
     return sorted(found)
 
 
-def _words(text: str) -> set[bytes]:
-    return set(text.lower().encode("utf-8", "surrogatepass").translate(_WORDS).split())
+def _words(low: str) -> set[bytes]:
+    """Words of a lower-cased text."""
+    return set(low.encode("utf-8", "surrogatepass").translate(_WORDS).split())
 
 
 def suspicious(text: str) -> set[str]:
     """Tokens that may be obfuscated: marks or digits among letters, doubled letters, or single letters in a row with what parts them."""
-    low = text.lower()
+    return _suspicious(text.lower())
+
+
+def _suspicious(low: str) -> set[str]:
     found: set[str] = set()
+    twice, cut = _TWICE.search, _CORE.sub
     for t in set(low.split()):
-        if t.isalpha():
-            if _TWICE.search(t):
+        if t.isalpha() or (t := cut("", t)).isalpha():
+            if twice(t):
                 found.add(t)
-            continue
-        core = _CORE.sub("", t)
-        if any(map(str.isalpha, core)) and (not core.isalpha() or _TWICE.search(core)):
-            found.add(core)
+        elif any(map(str.isalpha, t)):
+            found.add(t)
     found.update(" ".join(m[0].split()) for m in _SPACED.finditer(low) if any(map(str.isalpha, m[0])))
     return found
 
 
+def _features(word: bytes) -> list[tuple[int, bytes]]:
+    """The word itself (0) and its beginnings by their lengths."""
+    return [(0, word), *((k, word[:k]) for k in PREFIXES if len(word) > k)]
+
+
+class Marks:
+    """Features of sets of words, of those that are known. Few words begin like a known one, so most are put aside by their first bytes."""
+
+    def __init__(self, known: Iterable[tuple[int, bytes]]):
+        self.words, self.heads = set(), {k: set() for k in PREFIXES}
+        for k, w in known:
+            (self.heads[k] if k else self.words).add(w)
+        self.heads = {k: v for k, v in self.heads.items() if v}
+        self.starts = {w[: PREFIXES[0]] for v in self.heads.values() for w in v}
+
+    def of(self, words: set[bytes]) -> set[tuple[int, bytes]]:
+        found, first, starts = {(0, w) for w in words & self.words}, PREFIXES[0], self.starts
+        for w in [w for w in words if w[:first] in starts]:
+            found.update((k, w[:k]) for k, known in self.heads.items() if len(w) > k and w[:k] in known)
+        return found
+
+
 class Scorer:
     def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
-        self.held: dict[str, set[bytes]] = {}
-        self.vocabulary = frozenset(model.words)
-        self.heads = {k: frozenset(v) for k, v in model.begins.items()}
+        self.held: dict[str, tuple[bytes, ...]] = {}
+        self.weights = {(0, w): v for w, v in model.words.items()} | {(k, w): v for k, known in model.begins.items() for w, v in known.items()}
+        self.marks = Marks(self.weights)
 
     def words_of(self, text: str) -> set[bytes]:
-        words = _words(text)
-        for token in suspicious(text):
+        low = text.lower()
+        words = _words(low)
+        for token in _suspicious(low):
             if (more := self.held.get(token)) is None:
-                more = _words(self.model.restored(token))
+                more = tuple(_words(self.model.restored(token).lower()))
                 if len(self.held) >= self.most:
                     self.held.clear()
                 self.held[token] = more
-            words |= more
+            words.update(more)
         return words
 
     def score(self, text: str) -> float:
-        z, words = self.model.bias, self.words_of(text)
-        for w in sorted(words & self.vocabulary):
-            z += self.model.words[w]
-        for k, known in sorted(self.heads.items()):
-            for w in sorted({w[:k] for w in words if len(w) > k} & known):
-                z += self.model.begins[k][w]
+        z = self.model.bias
+        for f in sorted(self.marks.of(self.words_of(text))):
+            z += self.weights[f]
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -201,10 +226,6 @@ def character_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
-def _features(words: set[bytes]) -> set[tuple[int, bytes]]:
-    return {(0, w) for w in words} | {(k, w[:k]) for k in PREFIXES for w in words if len(w) > k}
-
-
 def train(rows: list[tuple[str, int]], trigram: np.ndarray, rounds: int = 300, weight: float = 4e-4) -> Model:
     """A model from (text, toxic) rows and a character model; without rows of both kinds, every score is the smoothed share of toxic ones."""
     toxic = sum(y for _, y in rows)
@@ -217,16 +238,18 @@ def train(rows: list[tuple[str, int]], trigram: np.ndarray, rounds: int = 300, w
     seen, with_toxic = Counter(), Counter()
     for t, y in rows:
         if y:
-            with_toxic.update(_features(draft.words_of(t)))
+            with_toxic.update({f for w in draft.words_of(t) for f in _features(w)})
     with_toxic = {f: n for f, n in with_toxic.items() if n >= 3}
+    marks = Marks(with_toxic)
     for t, y in rows:
         if not y:
-            seen.update(f for f in _features(draft.words_of(t)) if f in with_toxic)
+            seen.update(marks.of(draft.words_of(t)))
     gain = {f: n * math.log((n + 0.3) / (toxic + 1) * (clean + 1) / (seen[f] + 0.3)) for f, n in with_toxic.items() if n * clean > 1.5 * seen[f] * toxic}
     chosen = {f: i for i, f in enumerate(sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES])}
     row, col = [], []
+    marks = Marks(chosen)
     for i, (t, _) in enumerate(rows):
-        own = [chosen[f] for f in _features(draft.words_of(t)) if f in chosen]
+        own = sorted(chosen[f] for f in marks.of(draft.words_of(t)))
         row.append(np.full(len(own), i, np.int64))
         col.append(np.array(own, np.int64))
     row, col = np.concatenate(row), np.concatenate(col)
