@@ -125,6 +125,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(pages, fit(table(spark, sf_dir, "documents")), "page_id", "html", url=F.col("url"), markup=True)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged, with its faults and its cheapest repair."""
+    from .convrepair import FAULTS, apply_plans, damage, gaps, repair
+
+    given = table(spark, sf_dir, "conversations")
+    rows = damage(given)
+    found, planned = repair(rows)
+    out = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    for more in (planned, gaps(rows), apply_plans(found, planned, digest=True)):
+        more = more.withColumnRenamed("conv_id", "_own").hint("merge")
+        out = out.join(more, out["conv_id"].eqNullSafe(more["_own"]), "left").drop("_own")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", *map(count, ("gaps", *FAULTS, "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines without those that documents of smaller ids hold."""
+    from .linededup import dedup_lines
+
+    got = dedup_lines(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 #: DuckDB SQL. Words as op2 cuts them; a notice is a pattern over the words, each between blanks.
 _WORDS = r"""
  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -181,8 +205,44 @@ SELECT conv_id, part, turn, role, segment, part <> 'prompt' AND coalesce(role =
 FROM r"""
 
 
-QUERIES = {f.__name__: f for f in (op1_preferences, op2_license_scan, op3_media, op4_byte_bpe, op5_near_duplicates, op6_token_planes, op7_simhash, op8_packing, op9_toxicity, op10_language)}
-ORACLES = {"op1_preferences": _op1_sql, "op2_license_scan": _op2_sql}
+#: Damaged rows in order, then the cheapest ways to each state of the grammar, row by row; ins has up to two insertions before a row.
+_OP11 = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: ord(c)::BIGINT),
+  lambda a, b: xor(a // 256, t[(xor(a, b) % 256 + 1)::INT])))  % 20 AS kind FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+ FROM h, range(2) c(c) WHERE kind <> 0 AND (c = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+f AS (SELECT *, left(role, 1) AS r, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+ lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+n AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+ count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ins(p, k, q, added) AS (VALUES (0, 0, 0, []::VARCHAR[]), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []), (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (2, 1, 3, ['assistant:']), (3, 1, 2, ['user:']),
+ (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:'])),
+best AS (SELECT conv_id, n, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS turns FROM n
+ UNION ALL SELECT conv_id, n, i, q, min(cost), first(audit ORDER BY cost, audit), first(turns ORDER BY cost, audit) FROM (
+  SELECT b.conv_id, b.n, f.i, CASE e WHEN 'D' THEN ins.q WHEN 'K' THEN CASE r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE ins.q WHEN 2 THEN 3 ELSE 2 END END AS q,
+   b.cost + 3 * k + CASE e WHEN 'D' THEN 4 WHEN 'K' THEN 0 ELSE 3 END + CASE WHEN e <> 'D' AND fault = 3 THEN 3 ELSE 0 END AS cost, b.audit || repeat('I', k) || e AS audit,
+   b.turns || added || CASE e WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE ins.q WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END AS turns
+  FROM best b JOIN f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = b.i + 1 JOIN ins ON ins.p = b.q CROSS JOIN (VALUES ('K'), ('R'), ('D')) e(e)
+  WHERE e = 'D' OR fault IN (0, 3) AND (CASE e WHEN 'K' THEN r = CASE ins.q WHEN 2 THEN 'a' ELSE 'u' END OR r = 's' AND ins.q = 0 ELSE r <> CASE ins.q WHEN 2 THEN 'a' ELSE 'u' END END)) GROUP BY conv_id, n, i, q),
+ends AS (SELECT conv_id, min(cost + 3 * k) AS cost, first(audit || repeat('I', k) ORDER BY cost + 3 * k, audit || repeat('I', k)) AS audit, first(turns || added ORDER BY cost + 3 * k, audit || repeat('I', k)) AS turns
+ FROM best JOIN ins ON ins.p = best.q WHERE i = n AND (ins.q = 3 OR ins.q = 0) GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN ends ON a.conv_id IS NOT DISTINCT FROM ends.conv_id"""
+
+_OP12 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+m AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+j AS (SELECT doc_id, line, pos, least IS NOT NULL AND doc_id <> least AS gone FROM k LEFT JOIN m USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_preferences, op2_license_scan, op3_media, op4_byte_bpe, op5_near_duplicates, op6_token_planes, op7_simhash, op8_packing, op9_toxicity, op10_language, op11_conversation_repair, op12_line_dedup)}
+ORACLES = {"op1_preferences": _op1_sql, "op2_license_scan": _op2_sql, "op11_conversation_repair": lambda: _OP11, "op12_line_dedup": lambda: _OP12}
 
 
 def oracle_sql() -> dict[str, str]:
