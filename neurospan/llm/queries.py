@@ -149,6 +149,13 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first collocations of every language of the documents."""
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 #: DuckDB SQL. Words as op2 cuts them; a notice is a pattern over the words, each between blanks.
 _WORDS = r"""
  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -240,9 +247,25 @@ m AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10 GROUP BY k
 j AS (SELECT doc_id, line, pos, least IS NOT NULL AND doc_id <> least AS gone FROM k LEFT JOIN m USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
 
-
-QUERIES = {f.__name__: f for f in (op1_preferences, op2_license_scan, op3_media, op4_byte_bpe, op5_near_duplicates, op6_token_planes, op7_simhash, op8_packing, op9_toxicity, op10_language, op11_conversation_repair, op12_line_dedup)}
-ORACLES = {"op1_preferences": _op1_sql, "op2_license_scan": _op2_sql, "op11_conversation_repair": lambda: _OP11, "op12_line_dedup": lambda: _OP12}
+_OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(len(w) - m + 1), lambda i: array_to_string(list_slice(w, i + 1, i + m), ' '))) AS g FROM w, range(1, 5) m(m) WHERE len(w) >= m),
+f AS MATERIALIZED (SELECT lang, g, m, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, g, string_split(g, ' ') AS w, m, f AS a FROM f WHERE m > 1),
+k AS MATERIALIZED (SELECT lang, g, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM c, range(1, 4) k(k) WHERE k < m),
+e AS (SELECT k.lang, k.g, a, k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score FROM k JOIN f x ON x.lang = k.lang AND x.g = k.x JOIN f y ON y.lang = k.lang AND y.g = k.y),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+s AS (SELECT lang, a AS f, unnest(list_transform(range(c.m - n + 1), lambda i: array_to_string(list_slice(w, i + 1, i + n), ' '))) AS g FROM c, range(2, 4) n(n) WHERE n < c.m),
+gone AS (SELECT lang, g, max(f) AS f FROM s GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank
+ FROM b LEFT JOIN gone ON gone.lang = b.lang AND gone.g = b.g WHERE gone.f IS NULL OR 100::HUGEINT * gone.f < 80::HUGEINT * a),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang)
+SELECT o.lang, rank, g AS phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000"""
+
+
+QUERIES = {f.__name__: f for f in (op1_preferences, op2_license_scan, op3_media, op4_byte_bpe, op5_near_duplicates, op6_token_planes, op7_simhash, op8_packing, op9_toxicity, op10_language, op11_conversation_repair, op12_line_dedup, op13_phrases)}
+ORACLES = {"op1_preferences": _op1_sql, "op2_license_scan": _op2_sql, "op11_conversation_repair": lambda: _OP11, "op12_line_dedup": lambda: _OP12, "op13_phrases": lambda: _OP13}
 
 
 def oracle_sql() -> dict[str, str]:
