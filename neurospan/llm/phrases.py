@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ LEAST, WORDS, TOP = 30, 4, 2000
 NO_LANGUAGE = "und"
 SCALE = 2_000_000
 CONTAINED = (100, 80)  # a candidate goes if 100 times a longer one's count is at least 80 times its own
-CELLS = (1 << 16, 1 << 25)  # counters of a sketch, at least and at most: one for some 40 bytes of text in between
+CELLS = (1 << 16, 1 << 25)  # counters of a sketch (a byte each), at least and at most
+BYTES = 16  # of text for which there is a counter, in between
 SHARD = 1 << 23  # bytes of text that one automaton scans, or a single text
 BLOCK = 1 << 15  # counters that are added up together
 PARTS = 32  # a language's phrases are ranked in so many parts first
@@ -37,7 +39,7 @@ _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if
 
 def cells_for(n_bytes: int) -> int:
     """Counters for so many bytes of text: a power of two."""
-    return min(max(CELLS[0], 1 << max(0, n_bytes // 40).bit_length() - 1 if n_bytes >= 40 else 0), CELLS[1])
+    return min(max(CELLS[0], 1 << (n_bytes // BYTES).bit_length()), CELLS[1])
 
 
 class Shard:
@@ -68,7 +70,7 @@ class Shard:
 
     def cells(self, bits: int) -> Iterator[np.ndarray]:
         for within, h in self.grams():
-            yield (h[within] >> np.uint64(64 - bits)).astype(np.int64)
+            yield (h[within] >> np.uint64(64 - bits)).astype(np.int32)
 
     def candidates(self, sketch: np.ndarray, bits: int, least: int) -> tuple[list[str], list[int]]:
         """Distinct phrases here, with the numbers of their words, whose bounds and whose parts' bounds reach the least count."""
@@ -124,20 +126,20 @@ def sketch_of(texts: DataFrame, bits: int) -> np.ndarray:
     """Counters of all phrases of 1 to WORDS words, saturating at 255. The driver gets 1 << bits bytes, CELLS at most."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.uint32)
+        cells = np.zeros(1 << bits, np.uint8)
         for shard in _shards(batches):
             for own in shard.cells(bits):
-                np.add.at(cells, own, np.uint32(1))
-            np.minimum(cells, 255, out=cells)
-        cells = cells.astype(np.uint8).reshape(-1, min(BLOCK, 1 << bits))
+                at, n = np.unique(own, return_counts=True)
+                cells[at] = np.minimum(cells[at] + n, 255)
+        cells = cells.reshape(-1, min(BLOCK, 1 << bits))
         for k in np.flatnonzero(cells.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cells[k].tobytes()], pa.binary())], names=["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(cells[k].tobytes())], pa.binary())], names=["block", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = np.frombuffer(cells, np.uint8)
+                own = np.frombuffer(zstandard.decompress(cells), np.uint8)
                 sums[k] = np.minimum(sums[k].astype(np.uint16) + own, 255).astype(np.uint8) if k in sums else own
         for k, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "cells"])
