@@ -67,30 +67,60 @@ def owners(merges: DataFrame) -> DataFrame:
 
 
 def merge_chains(merges: DataFrame) -> DataFrame:
-    """(body, owner, merge_count, chain): each absorbed body's way to its owner. The number of rounds is the longest chain."""
-    own = settle(merges.where("target != absorbed").groupBy(F.col("absorbed").alias("body")).agg(F.min("target").alias("next")))
-    going, done = own.select("body", F.col("next").alias("at"), F.array("body", "next").alias("chain")), None
+    """(body, owner, merge_count, chain): each absorbed body's way to its owner; in a cycle, to the last body before it comes round.
+
+    Chains double each round, so there are as many rounds as the longest one's length has bits.
+    """
+    own = merges.where("target != absorbed").groupBy(F.col("absorbed").alias("body")).agg(F.min("target").alias("next"))
+    now = settle(own.select("body", F.array("body", "next").alias("chain"), F.lit(False).alias("done")))
     while True:
-        step = settle(going.join(own.select(F.col("body").alias("at"), "next"), "at", "left").select("body", "at", "chain", "next"))
-        ended = step.where("next IS NULL OR array_contains(chain, next)").select("body", F.col("at").alias("owner"), (F.size("chain") - 1).alias("merge_count"), "chain")
-        done = ended if done is None else done.union(ended)
-        going = step.where("next IS NOT NULL AND NOT array_contains(chain, next)").select("body", F.col("next").alias("at"), F.concat("chain", F.array("next")).alias("chain"))
-        if not going.limit(1).count():
-            return done
+        end = F.element_at("chain", -1).alias("at")
+        far = now.select(F.col("body").alias("at"), F.col("chain").alias("tail"), F.col("done").alias("ended"))
+        step = now.where("NOT done").select("body", "chain", end).join(far, "at", "left")
+        whole = F.concat("chain", F.expr("slice(tail, 2, size(tail))"))
+        kept = F.array_distinct(whole)  # after a body that is met again all others are too
+        step = step.select("body", F.when(F.col("tail").isNull(), F.col("chain")).otherwise(kept).alias("chain"), (F.col("tail").isNull() | F.col("ended") | (F.size(kept) < F.size(whole))).alias("done"))
+        now = settle(now.where("done").unionByName(step))
+        if not now.where("NOT done").limit(1).count():
+            return now.select("body", F.element_at("chain", -1).alias("owner"), (F.size("chain") - 1).alias("merge_count"), "chain")
 
 
 def ancestors(edges: DataFrame, start: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
-    """(start, node, depth): the start nodes and all above them, at their least depth."""
-    up = edges.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("parent IS NOT NULL").distinct()
+    """(start, node, depth): the start nodes and all above them, at their least depth.
+
+    After k rounds all less than 2^k steps away are known, and all steps of 2^k; there are as many rounds as
+    the greatest depth has bits.
+    """
+    up = edges.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("node IS NOT NULL AND parent IS NOT NULL").distinct()
     seen = settle(start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
-    fresh, depth = seen, 0
-    while True:
-        depth += 1
-        more = fresh.join(up, "node").select("start", F.col("parent").alias("node"), F.lit(depth).alias("depth")).distinct()
-        fresh = settle(more.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
-        if not fresh.limit(1).count():
-            return seen
-        seen = settle(seen.unionByName(fresh))
+    jump, size, nodes = settle(up), 1, 0
+    while jump.limit(1).count():
+        nodes = nodes or jump.select("node").distinct().count()
+        if size > nodes:  # only steps round cycles are left
+            break
+        more = seen.join(jump, "node").select("start", F.col("parent").alias("node"), (F.col("depth") + size).alias("depth"))
+        seen = settle(seen.unionByName(more).groupBy("start", "node").agg(F.min("depth").alias("depth")))
+        then = jump.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        jump, size = settle(jump.join(then, "parent").select("node", F.col("far").alias("parent")).distinct()), 2 * size
+    return seen
+
+
+def subtree_sums(values: DataFrame, parents: DataFrame) -> DataFrame:
+    """(node, total): each node's value with those of all below it. values: (node, value), parents: (node, parent), a forest.
+
+    Nodes without a value have 0. Sums over less than 2^k steps double in range each round.
+    """
+    up = parents.where("node IS NOT NULL AND parent IS NOT NULL AND node != parent").groupBy("node").agg(F.min("parent").alias("parent"))
+    every = values.select("node").union(up.select("node")).union(up.select("parent")).where("node IS NOT NULL").distinct()
+    own = values.groupBy("node").agg(F.sum("value").alias("value"))
+    total = settle(every.join(own, "node", "left").select("node", F.coalesce("value", F.lit(0)).alias("total")))
+    jump, rounds = settle(up), total.count().bit_length()  # more can only be a cycle's
+    while rounds and jump.limit(1).count():
+        below = jump.join(total, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("total").alias("more"))
+        total = settle(total.join(below, "node", "left").select("node", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
+        then = jump.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        jump, rounds = settle(jump.join(then, "parent").select("node", F.col("far").alias("parent"))), rounds - 1
+    return total
 
 
 def descendants(edges: DataFrame, start: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, settle
+from .shapes import closest_approach  # noqa: F401
+from .tables import numbered
 
 AXES = ("z", "y", "x")
 _FACES = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
@@ -70,9 +72,9 @@ def split_bodies(voxels: DataFrame, label: str = "label") -> tuple[DataFrame, Da
     n = comp.groupBy(label, "component").agg(F.count("*").alias("n"))
     ranked = n.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("n"), "component")))
     extra = ranked.where("_r > 1")
-    order = Window.orderBy(label, "_r")  # one row a piece beyond the first of its label
     top = voxels.agg(F.max(label).alias("_m"))
-    named = extra.crossJoin(F.broadcast(top)).select("component", (F.col("_m") + F.row_number().over(order)).alias("new"), F.col(label).alias("old"))
+    rows = numbered(extra.select(label, "_r", "component"), [label, "_r"], "_k")  # one row a piece beyond the first of its label
+    named = rows.crossJoin(F.broadcast(top)).select("component", (F.col("_m") + F.col("_k") + 1).alias("new"), F.col(label).alias("old"))
     out = comp.join(named, "component", "left").select(*AXES, F.coalesce("new", F.col(label)).alias(label))
     pieces = named.select("new", "old").union(named.select(F.col("old").alias("new"), "old")).distinct()
     return out, pieces
@@ -80,9 +82,9 @@ def split_bodies(voxels: DataFrame, label: str = "label") -> tuple[DataFrame, Da
 
 def fill_holes(mask: DataFrame, box: dict[str, tuple[int, int]]) -> DataFrame:
     """Voxels (z, y, x) of a mask with its cavities: what isn't joined by faces to the outside of its box."""
-    cells = mask.sparkSession.range(1)
-    for a in AXES:
-        cells = cells.withColumn(a, F.explode(F.sequence(F.lit(box[a][0] - 1), F.lit(box[a][1]))))
+    cells = mask.sparkSession.range(box["z"][0] - 1, box["z"][1] + 1).select(F.col("id").cast("int").alias("z"))
+    cells = cells.withColumn("y", F.explode(F.sequence(F.lit(box["y"][0] - 1), F.lit(box["y"][1])))).repartition("z", "y")  # lines, before they are cells
+    cells = cells.withColumn("x", F.explode(F.sequence(F.lit(box["x"][0] - 1), F.lit(box["x"][1]))))
     empty = cells.select(*AXES).join(mask.select(*AXES), list(AXES), "left_anti").withColumn("label", F.lit(1))
     comp = label_components(empty)
     outside = comp.where(" AND ".join(f"{a} = {box[a][0] - 1}" for a in AXES)).select("component")  # the corner's one row
@@ -133,27 +135,6 @@ def nearest_voxel(voxels: DataFrame, points: DataFrame, label: str = "label") ->
     return near.select(label, *(F.col(f"m.{a}").alias(a) for a in AXES))
 
 
-def closest_approach(voxels: DataFrame, a: int, b: int, label: str = "label") -> DataFrame:
-    """(za, ya, xa, zb, yb, xb, d): the nearest pair of voxels of two labels. Search cells double until one holds both."""
-    side = lambda v: voxels.where(F.col(label) == v)
-    p = side(a).select(*(F.col(c).alias(f"{c}a") for c in AXES))
-    q = side(b).select(*(F.col(c).alias(f"{c}b") for c in AXES))
-    if not p.limit(1).count() or not q.limit(1).count():
-        return p.crossJoin(q.limit(0)).withColumn("d", F.lit(0.0))
-    d = F.sqrt(sum((F.pow(F.col(f"{c}a") - F.col(f"{c}b"), 2) for c in AXES), F.lit(0.0)))
-    near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("ijk", t))) for t in ((i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))))
-    size = 2
-    while True:
-        cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
-        own = p.select("*", *(cell(f"{c}a").alias(f"c{c}") for c in AXES))
-        other = q.withColumn("_n", near).select("zb", "yb", "xb", *((cell(f"{c}b") + F.col(f"_n.{n}")).alias(f"c{c}") for c, n in zip(AXES, "ijk")))
-        hit = own.join(other, [f"c{c}" for c in AXES]).select("za", "ya", "xa", "zb", "yb", "xb", d.alias("d")).orderBy("d", "za", "ya", "xa", "zb", "yb", "xb").limit(1)
-        best = hit.collect()
-        if best and best[0]["d"] <= size:
-            return hit
-        size *= 2
-
-
 def distances(voxels: DataFrame, most: int, label: str = "label") -> DataFrame:
     """Adds distance: how many steps over faces a voxel is from another label, up to a bound (bound + 1 beyond)."""
     done = rim = settle(edges(voxels, "both", label).select(*AXES, F.lit(1).alias("distance")))
