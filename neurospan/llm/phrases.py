@@ -29,6 +29,7 @@ CONTAINED = (100, 80)  # a candidate goes if 100 times a longer one's count is a
 CELLS = (1 << 16, 1 << 25)  # counters of a sketch (a byte each), at least and at most
 BYTES = 16  # of text for which there is a counter, in between
 SHARD = 1 << 23  # bytes of text that one automaton scans, or a single text
+TASK = 1 << 26  # bytes of text that a task takes at least, if all cores have one: the more, the fewer rows of a phrase are shuffled
 BLOCK = 1 << 15  # counters that are added up together
 PARTS = 32  # a language's phrases are ranked in so many parts first
 
@@ -211,6 +212,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     texts = docs.select(F.coalesce(docs[lang_col], F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = cells_for(size).bit_length() - 1
+    texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK)))
     counts = materialize(phrase_counts(texts, sketch_of(texts, bits), least))
     found = materialize(scored(counts, least))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
