@@ -1,8 +1,8 @@
 """Toxicity by a noisy channel: obfuscated words are restored by Viterbi decoding, then the text is scored.
 
 The channel writes letters as digits or marks, puts marks or blanks between letters, and repeats
-letters. Its source is a character trigram model; each
-stretch of single letters in a row (SPACED at most) is read as a word, since any blank may end one. Scores come from a sparse logistic model over the
+letters. Its source is a character trigram model; of single letters in a row, any blank may end a word,
+and all words count that are on a way within BEAM of the likeliest. Scores come from a sparse logistic model over the
 presence of words and word beginnings in the text and its restored words. The character model counts
 the words of all texts, by a grouped aggregation; the logistic one is fitted on a bounded sample of
 labelled rows (FIT_TOXIC and FIT_CLEAN rows, the first by a hash of their ids, and FIT_CHARS characters).
@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +28,9 @@ FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 3000, 5000, 64_000_000
 PREFIXES = (4, 5, 6, 7, 8, 9)  # bytes of word beginnings
 FEATURES = 6000
 HOLD_OUT = 5
-SPACED = 32  # letters of the longest word that is looked for among single letters in a row
+BEAM = 12.0  # of a reading of single letters in a row: how much its cost may be above the least
+HEAD = 65  # letters of a restored word that are kept; features are words of fewer letters, and beginnings
+HELD_BYTES = 24 << 20  # of tokens and their words that a worker remembers
 
 # Letters that digits and marks are written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "#": "h", "&": "a", "%": "", "*": "", ".": "", "-": "", "_": "", "'": "", "~": "", "^": ""}
@@ -36,7 +38,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Lower-cased UTF-8 to words: ASCII that is neither letter nor digit parts them.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 #: Runs of at least two letters, digits or marks that each stand alone.
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$|€](?=\s))(?:[\s.\-_*]{1,3}(?:[^\W_](?!\w)|[@$!|€](?!\S)))+(?!\w)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$|€](?=\s))(?:[\s.\-_*]+(?:[^\W_](?!\w)|[@$!|€](?!\S)))+(?!\w)")
 _CORE = re.compile(r"^[^\w@$|!€]+|[^\w@$€]+$")
 _TWICE = re.compile(r"([^\W\d_])\1")
 
@@ -57,64 +59,90 @@ class Model:
     begins: dict[int, dict[bytes, float]] = field(default_factory=dict)
     trigram: np.ndarray | None = None  # log probability of the third letter after two
 
+    def words_behind(self, token: str, may_begin: Callable[[str], bool] | None = None) -> Iterator[str]:
+        """The words behind a token; white space in it is noise or parts words."""
+        if " " in token:
+            yield from readings(token.split(), self.trigram, may_begin)
+        else:
+            yield decode(token, self.trigram)
+
     def restored(self, token: str) -> str:
-        """The likeliest words behind a token; white space in it is noise or parts words."""
-        return " ".join(readings(token.split(), self.trigram)) if " " in token else decode(token, self.trigram)
+        return " ".join(sorted(set(self.words_behind(token))))
 
 
-Cells = dict[tuple[int, int], tuple[float, str]]
+Cells = dict[tuple[int, int], tuple[float, str, str]]  # cost, the word's first letters, its last one
 
 
-def _step(cells: Cells, c: str, trigram: np.ndarray, leet_cost: float, noise_cost: float, drop_cost: float, repeat_cost: float) -> Cells:
+def _step(cells: Cells, c: str, trigram: np.ndarray, leet_cost: float = 1.5, noise_cost: float = 0.5, drop_cost: float = 7.0, repeat_cost: float = 0.5) -> Cells:
     then: Cells = {}
     plain, log = c.isalpha(), trigram.item
     letters = [(c, _letter(c), 0.0)] if plain else [(x, _letter(x), leet_cost) for x in LEET.get(c, "")]
-    for state, (cost, word) in cells.items():
+    for state, (cost, head, last) in cells.items():
         a, b = state
         for x, k, extra in letters:
-            way = (cost + extra - log(a, b, k), word + x)
+            way = (cost + extra - log(a, b, k), head + x if len(head) < HEAD else head, x)
             if (b, k) not in then or way < then[b, k]:
                 then[b, k] = way
-        if word and c == word[-1]:
-            way = (cost + repeat_cost, word)
+        if c == last:
+            way = (cost + repeat_cost, head, last)
             if state not in then or way < then[state]:
                 then[state] = way
         if not plain:
-            way = (cost + (drop_cost if LEET.get(c, c) else noise_cost), word)
+            way = (cost + (drop_cost if LEET.get(c, c) else noise_cost), head, last)
             if state not in then or way < then[state]:
                 then[state] = way
     return then or cells
 
 
-def _end(cells: Cells, trigram: np.ndarray) -> str:
-    return min((cost - float(trigram[a, b, 0]), word) for (a, b), (cost, word) in cells.items())[1]
+def _end(cells: Cells, trigram: np.ndarray) -> tuple[float, str]:
+    return min((cost - float(trigram[a, b, 0]), head) for (a, b), (cost, head, _) in cells.items())
 
 
-def decode(token: str, trigram: np.ndarray, leet_cost: float = 1.5, noise_cost: float = 0.5, drop_cost: float = 7.0, repeat_cost: float = 0.5) -> str:
+def decode(token: str, trigram: np.ndarray) -> str:
     """Viterbi over a lattice whose states are the last two letters; arcs of a character read it as a
-    letter, as a letter it is written for, as a repetition of the last letter, or as noise."""
-    cells: Cells = {(0, 0): (0.0, "")}
+    letter, as a letter it is written for, as a repetition of the last letter, or as noise.
+
+    States hold a word's first HEAD letters, so time grows with the token's length and memory doesn't.
+    """
+    cells: Cells = {(0, 0): (0.0, "", "")}
     for c in token:
-        cells = _step(cells, c, trigram, leet_cost, noise_cost, drop_cost, repeat_cost)
-    return _end(cells, trigram)
+        cells = _step(cells, c, trigram)
+    return _end(cells, trigram)[1]
 
 
-def readings(row: list[str], trigram: np.ndarray, leet_cost: float = 1.5, noise_cost: float = 0.5, drop_cost: float = 7.0, repeat_cost: float = 0.5) -> list[str]:
-    """Words behind single letters in a row. Each blank is noise or the end of a word, so every stretch of
-    2 to SPACED letters is decoded as a word; one of letters alone counts as written too."""
-    found: set[str] = set()
-    for i in range(len(row)):
-        cells: Cells = {(0, 0): (0.0, "")}
-        plain = ""
-        for j in range(i, min(len(row), i + SPACED)):
-            for c in row[j]:
-                cells = _step(cells, c, trigram, leet_cost, noise_cost, drop_cost, repeat_cost)
-            plain += row[j]
-            if j > i:
-                found.add(_end(cells, trigram))
-                if plain.isalpha():
-                    found.add(plain)
-    return sorted(found)
+def readings(row: Iterable[str], trigram: np.ndarray, may_begin: Callable[[str], bool] | None = None) -> Iterator[str]:
+    """Words behind single letters in a row; each blank is noise or the end of a word.
+
+    Letters are read once. Words that are still open go on while their cost is within BEAM of the cheapest
+    way to read all letters so far; each that can end within BEAM counts, and so does the same stretch as
+    written, if it is of letters alone. Words of one letter don't count. An open word of HEAD letters has
+    shown all its beginnings, and with may_begin one is known early that begins like no word that is looked
+    for; of these only the cheapest goes on, as it may be on the cheapest way.
+    """
+    opened: list[tuple[int, Cells, str]] = [(0, {(0, 0): (0.0, "", "")}, "")]
+    for j, letters in enumerate(row):
+        ended, costs = [], []
+        for n, (i, cells, plain) in enumerate(opened):
+            for c in letters:
+                cells = _step(cells, c, trigram)
+            opened[n] = (i, cells, plain + letters if len(plain) < HEAD else plain)
+            ended.append(_end(cells, trigram))
+            costs.append(min(v[0] for v in cells.values()))
+        best = min(cost for cost, _ in ended)
+        going, rest = [], []
+        for w, (cost, word), least in zip(opened, ended, costs):
+            i, cells, plain = w
+            if i < j and cost <= best + BEAM and len(plain) < HEAD:
+                yield word
+                if plain.isalpha() and plain != word:
+                    yield plain
+            wanted = may_begin is None or may_begin(plain) or any(may_begin(v[1]) for v in cells.values())
+            if least <= best + BEAM:
+                (going if len(plain) < HEAD and wanted else rest).append((least, n, w))
+        if rest:
+            going.append(min(rest, key=lambda r: r[:2]))
+        opened = [w for _, _, w in going]
+        opened.append((j + 1, {(0, 0): (best, "", "")}, ""))
 
 
 def _words(low: str) -> set[bytes]:
@@ -154,6 +182,14 @@ class Marks:
             (self.heads[k] if k else self.words).add(w)
         self.heads = {k: v for k, v in self.heads.items() if v}
         self.starts = {w[: PREFIXES[0]] for v in self.heads.values() for w in v}
+        self.opens = self.starts | {w[: PREFIXES[0]] for w in self.words}
+
+    def may_begin(self, begun: str) -> bool:
+        """Whether a word with a feature may begin so."""
+        return (b := begun.encode("utf-8", "surrogatepass")[: PREFIXES[0]]) in self.opens or len(b) < PREFIXES[0]
+
+    def may(self, word: bytes) -> bool:
+        return word in self.words or word[: PREFIXES[0]] in self.starts
 
     def of(self, words: set[bytes]) -> set[tuple[int, bytes]]:
         found, first, starts = {(0, w) for w in words & self.words}, PREFIXES[0], self.starts
@@ -163,27 +199,43 @@ class Marks:
 
 
 class Scorer:
-    def __init__(self, model: Model, most: int = 100_000):
-        self.model, self.most = model, most
-        self.held: dict[str, tuple[bytes, ...]] = {}
+    """Scores texts. Words behind tokens are remembered in two generations of about HELD_BYTES / 2 each."""
+
+    ENTRY = 300  # bytes of a remembered token besides its own and its words'
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.young: dict[str, tuple[bytes, ...]] = {}
+        self.elder: dict[str, tuple[bytes, ...]] = {}
+        self.size = 0
         self.weights = {(0, w): v for w, v in model.words.items()} | {(k, w): v for k, known in model.begins.items() for w, v in known.items()}
         self.marks = Marks(self.weights)
 
-    def words_of(self, text: str) -> set[bytes]:
+    def _restored(self, token: str, marked: bool) -> Iterable[bytes]:
+        if " " in token:  # rows of letters seldom come twice
+            return (w for r in self.model.words_behind(token, self.marks.may_begin if marked else None) for w in _words(r.lower()))
+        if (more := self.young.get(token)) is not None:
+            return more
+        if (more := self.elder.get(token)) is None:
+            more = tuple({w for r in self.model.words_behind(token) for w in _words(r.lower())})
+        self.young[token] = more
+        self.size += self.ENTRY + len(token) + sum(map(len, more)) + 40 * len(more)
+        if self.size > HELD_BYTES // 2:
+            self.elder, self.young, self.size = self.young, {}, 0
+        return more
+
+    def words_of(self, text: str, marked: bool = False) -> set[bytes]:
+        """Words of a text and those behind its suspicious tokens; with marked only such of these as may have a feature."""
         low = text.lower()
         words = _words(low)
         for token in _suspicious(low):
-            if (more := self.held.get(token)) is None:
-                more = tuple(_words(self.model.restored(token).lower()))
-                if len(self.held) >= self.most:
-                    self.held.clear()
-                self.held[token] = more
-            words.update(more)
+            more = self._restored(token, marked)
+            words.update((w for w in more if self.marks.may(w)) if marked else more)
         return words
 
     def score(self, text: str) -> float:
         z = self.model.bias
-        for f in sorted(self.marks.of(self.words_of(text))):
+        for f in sorted(self.marks.of(self.words_of(text, True))):
             z += self.weights[f]
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 

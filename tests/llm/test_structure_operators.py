@@ -208,3 +208,60 @@ def test_scores_are_exact(spark):
     counts = spark.createDataFrame([("en", "a b", 2, big), ("en", "a", 1, big + 1), ("en", "b", 1, big + 3), ("en", "", 0, big)], "lang string, phrase string, words int, f long")
     row = phrases.scored(counts).collect()[0]
     assert row.score == 2_000_000 * big // (2 * big + 4) and phrases.uncontained(phrases.scored(counts).withColumn("x", F.lit(1)).drop("x")).count() == 1
+
+
+def test_long_tokens_and_rows_of_letters_stay_linear():
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    from neurospan.llm import toxicity as t
+
+    r = random.Random(1)
+    tri = np.log(np.random.default_rng(0).dirichlet(np.ones(t.SIDE), (t.SIDE, t.SIDE)))
+    s = t.Scorer(t.Model(-3.0, {b"wretch": 3.0}, {4: {b"wret": 1.0}}, tri))
+    took = []
+    for n in (20_000, 80_000):
+        texts = ["".join(r.choice("abcdefghij0123456789") for _ in range(n)), " ".join(r.choice("abcdefghijklmnop") for _ in range(n // 4))]
+        a = time.time()
+        for x in texts:
+            s.score(x)
+        took.append(time.time() - a)
+    assert took[1] < 10 * took[0] + 1  # by the square it would be 16 times
+    tracemalloc.start()
+    s.score(" ".join(r.choice("abcdefgh") for _ in range(20_000)))
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+    assert b"wretch" in s.words_of("x " + "w" + " " * 40 + "r e t c h")  # any number of blanks between letters
+
+
+def test_readings_match_enumeration():
+    """Every way to cut a row of letters into words, priced word by word."""
+    import numpy as np
+
+    from neurospan.llm import toxicity as t
+
+    r = random.Random(9)
+    tri = np.log(np.random.default_rng(3).dirichlet(np.full(t.SIDE, 0.1), (t.SIDE, t.SIDE)) + 1e-6)
+
+    def price(token):
+        cells = {(0, 0): (0.0, "", "")}
+        for c in token:
+            cells = t._step(cells, c, tri)
+        return t._end(cells, tri)
+
+    for _ in range(40):
+        row = [r.choice("abcd3") for _ in range(r.randrange(2, 9))]
+        best = [0.0]
+        for j in range(1, len(row) + 1):
+            best.append(min(best[i] + price(row[i:j])[0] for i in range(j)))
+        want = set()
+        for i in range(len(row)):
+            for j in range(i + 2, len(row) + 1):
+                if best[i] + price(row[i:j])[0] <= best[j] + t.BEAM:
+                    want |= {price(row[i:j])[1]} | ({"".join(row[i:j])} if "".join(row[i:j]).isalpha() else set())
+        got = set(t.readings(row, tri))
+        assert got <= want  # an open word can only be given up when it is beyond the beam
+        assert price(row)[1] in got or best[-1] + t.BEAM < price(row)[0]
+        assert set(t.readings(row, tri, lambda b: True)) == got
