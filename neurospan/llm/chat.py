@@ -44,7 +44,11 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     part is prompt, chosen or rejected; segment is the rendered turn; start is its place in code points
     within its part, and of a completion counts from the prompt's end. learned marks what a loss counts:
     assistants' turns of completions. Where both sides are equal, all is prompt and no completion follows.
+    Null roles and texts are rendered as empty; rows without pair or turn are left out; repeated rows stand
+    as often as they come, those of a like turn in the order of a hash. Other columns are left out. An empty
+    table gives no rows.
     """
+    turns = turns.select("pair", "side", "turn", "role", "text")
     cut = common_prefix(turns)
     rows = turns.join(cut, "pair").where((F.col("turn") >= F.col("cut")) | (F.col("side") == "chosen"))
     part = F.when(F.col("turn") < F.col("cut"), F.lit("prompt")).otherwise(F.col("side"))

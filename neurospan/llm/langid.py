@@ -103,7 +103,10 @@ def _model(seen: dict[str, np.ndarray]) -> Model:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on the bounded sample; a table without languages gives the one language und."""
+    """Fits on the bounded sample; a table without languages gives the one language und.
+
+    Rows that share an id and a language count once, with their greatest text; those with a null in id, text or language don't.
+    """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND id IS NOT NULL")
     # the first of each language: first of each of its buckets, so that a common language isn't one task's
     once = rows.groupBy("lang", "id").agg(F.max(F.length("text")).cast("long").alias("n")).withColumn("h", F.xxhash64("id"))
@@ -119,7 +122,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         for lang, own in got.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([own.tobytes()], pa.binary())], names=["lang", "counts"])
 
-    counted = rows.join(F.broadcast(ids), ["id", "lang"]).select("lang", "text").repartition("lang").mapInArrow(run, "lang string, counts binary")
+    chosen = rows.join(F.broadcast(ids), ["id", "lang"]).groupBy("lang", "id").agg(F.max("text").alias("text"))  # rows that share an id count once
+    counted = chosen.select("lang", "text").repartition("lang").mapInArrow(run, "lang string, counts binary")
     return _model({r["lang"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()})
 
 

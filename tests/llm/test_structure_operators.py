@@ -265,3 +265,30 @@ def test_readings_match_enumeration():
         assert got <= want  # an open word can only be given up when it is beyond the beam
         assert price(row)[1] in got or best[-1] + t.BEAM < price(row)[0]
         assert set(t.readings(row, tri, lambda b: True)) == got
+
+
+def test_preferences_beside_clashing_columns_and_repeats(spark):
+    from neurospan.llm import chat
+
+    rows = [(1, s, t, "user" if t % 2 == 0 else "assistant", f"{t}" if t < 3 else f"{s}{t}" * 3) for s in ("chosen", "rejected") for t in range(5)]
+    rows += [(2, s, 0, None, None) for s in ("chosen", "chosen", "rejected", "rejected")] + [(3, "chosen", 0, "user", "x" * 400_000), (None, "chosen", 0, "user", "n")]
+    df = spark.createDataFrame([(*r, 9, 9, 9, "z", 9) for r in rows], "pair long, side string, turn long, role string, text string, cut long, block long, base long, part string, own long")
+    got = sorted((r.pair, r.part, r.turn, r.start, r.length, r.learned) for r in chat.format_preferences(df).collect())
+    want = sorted(tuple(r) for r in chat.format_preferences(df.select("pair", "side", "turn", "role", "text")).select("pair", "part", "turn", "start", "length", "learned").collect())
+    assert got == want and [g[1] for g in got if g[0] == 1] == ["chosen"] * 2 + ["prompt"] * 3 + ["rejected"] * 2
+    assert sum(g[0] == 2 for g in got) == 2 and all(g[1] == "prompt" for g in got if g[0] == 2) and [g[1] for g in got if g[0] == 3] == ["chosen"]
+    assert chat.format_preferences(df.limit(0)).count() == 0
+
+
+def test_language_fit_counts_rows_of_an_id_once(spark):
+    import numpy as np
+
+    from neurospan.llm import langid
+
+    rows = [(i, f"{'der die das und' if i % 2 else 'the of and to'} {i} " * 5, "de" if i % 2 else "en", "z", 1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows + rows[:9] * 3 + [(None, "x", "de", "z", 1, 2), (77, None, "de", "z", 1, 2), (78, "q" * 200_000, "en", "z", 1, 2)], "doc_id long, text string, lang string, id string, n long, h long")
+    m = langid.fit(df)
+    own = [(r[2], r[1]) for r in rows] + [("en", "q" * 200_000)]
+    want = langid.train(own)
+    assert m.languages == want.languages and np.allclose(m.log, want.log)
+    assert langid.fit(df.limit(0)).languages == ["und"]
