@@ -539,7 +539,7 @@ def speculative_score(spark, sf_dir):
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     events = stream.table_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = stream.into_memory(stream.tumbling(events, "ts", "1 hour", ["event_type"], "1 hour"), _stream_name("tumbling"), "complete")
+    got = stream.into_table(stream.tumbling(events, "ts", "1 hour", ["event_type"], "1 hour"), "complete")
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -558,13 +558,7 @@ def stream_body_states(spark, sf_dir):
     events = stream.table_stream(spark, f"{sf_dir}/events.parquet")
     kind = F.when(F.col("event_type") == "error", "removed").when(F.col("event_type") == "signup", "new").otherwise("changed")
     rows = events.select(F.col("user_id").alias("body"), F.col("event_id").alias("mutid"), F.lit(0).alias("seq"), kind.alias("event"))
-    return stream.into_memory(stream.body_states(rows), _stream_name("states"), "update")
-
-
-def _stream_name(kind: str) -> str:
-    import uuid
-
-    return f"{kind}_{uuid.uuid4().hex}"
+    return stream.into_table(stream.body_states(rows), "update", ["body"])
 
 
 @query()

@@ -202,3 +202,62 @@ def sampled_points(spark, sf_dir):
     item = _t(spark, sf_dir, "lineitem")
     points = item.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") * 50).alias("z"), F.col("l_quantity").cast("int").alias("y"), F.col("l_partkey").cast("int").alias("x"))
     return organelles.sampled_points(points, 1000, minimum_distance=2.0, seed=5)
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT DISTINCT c_custkey // 5 AS target, c_custkey AS fragment FROM customer WHERE c_custkey > 0 AND c_custkey % 11 <> 0 AND c_custkey // 5 > 0),
+l AS (SELECT c_custkey // 7 AS target, c_custkey AS absorbed FROM customer WHERE c_custkey > 6 AND c_acctbal < 500),
+e AS (SELECT absorbed AS body, target AS up FROM l UNION ALL SELECT e.body, l.target FROM e JOIN l ON l.absorbed = e.up), w AS (SELECT body, up AS owner FROM e WHERE up NOT IN (SELECT absorbed FROM l)),
+b AS (SELECT target AS body FROM m UNION SELECT fragment FROM m),
+o AS (SELECT b.body, coalesce(c_acctbal >= 500, FALSE) AS "exists", CASE WHEN c_acctbal >= 500 THEN b.body ELSE coalesce(w.owner, 0) END AS owner FROM b LEFT JOIN customer ON c_custkey = b.body LEFT JOIN w USING (body)),
+u AS (SELECT fragment AS body, target AS up FROM m UNION ALL SELECT u.body, m.target FROM u JOIN m ON m.fragment = u.up),
+r AS (SELECT b.body, coalesce((SELECT min(up) FROM u WHERE u.body = b.body), b.body) AS root FROM b),
+a AS (SELECT o.*, root, p.owner AS root_owner, CASE WHEN o.body = root THEN CASE WHEN o.owner = 0 THEN 'unknown' WHEN o.owner = o.body THEN 'target' ELSE 'old_target' END WHEN p.owner = 0 THEN 'unassessed' WHEN o.owner = p.owner AND o.owner = o.body THEN 'already_absorbed_target'
+ WHEN o.owner = p.owner THEN 'already_merged' WHEN o.owner = o.body THEN 'mergeable' ELSE 'merged_elsewhere' END AS assessment FROM o JOIN r USING (body) JOIN (SELECT body AS root, owner FROM o) p USING (root)),
+k AS (SELECT m.* FROM m JOIN a ON a.body = fragment WHERE assessment <> 'merged_elsewhere'), v AS (SELECT fragment AS body, target AS up FROM k UNION ALL SELECT v.body, k.target FROM v JOIN k ON k.fragment = v.up),
+g AS (SELECT a.*, coalesce((SELECT min(up) FROM v WHERE v.body = a.body), a.body) AS begin FROM a),
+h AS (SELECT g.*, x.owner AS begin_owner, x.assessment AS begin_assessment, g.assessment = 'mergeable' AND g.body <> g.begin AND x.assessment <> 'unknown' AS goes FROM g JOIN a x ON x.body = g.begin)
+SELECT body, "exists", owner, CASE WHEN goes AND begin_assessment = 'merged_elsewhere' THEN 'my_target_merged_elsewhere' ELSE assessment END AS assessment,
+ CAST(CASE WHEN (goes OR body = begin) AND bool_or(goes) OVER (PARTITION BY begin) THEN CASE WHEN begin_assessment = 'merged_elsewhere' THEN begin ELSE begin_owner END ELSE -1 END AS BIGINT) AS mergeset FROM h""")
+def assessed_merges(spark, sf_dir):
+    """Proposed merges in a tree of customers, some of whom have gone into others since."""
+    from .operators import review
+
+    c = _t(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    merges = c.where("c_custkey > 0 AND c_custkey % 11 <> 0 AND c_custkey div 5 > 0").select(F.expr("c_custkey div 5").alias("target"), k.alias("fragment"))
+    log = c.where("c_custkey > 6 AND c_acctbal < 500").select(F.expr("c_custkey div 7").alias("target"), k.alias("absorbed"))
+    return review.assess_merges(merges, c.select(k.alias("body"), (F.col("c_acctbal") >= 500).cast("int").alias("size")), log)
+
+
+@query("""
+WITH n AS (SELECT c_custkey AS body, c_custkey // 4 AS g, c_mktsegment IN ('BUILDING', 'MACHINERY') AS traced FROM customer WHERE c_custkey // 4 <> 0)
+SELECT g AS "group", string_agg(body, ',' ORDER BY body) AS bodies, count(*) AS n FROM n GROUP BY 1 HAVING NOT bool_and(traced) AND count(*) IN (3, 4)""")
+def review_groups(spark, sf_dir):
+    """Fours of customers, of whom not all are in two segments."""
+    from .operators import review
+
+    n = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("body"), F.expr("c_custkey div 4").alias("group"), F.col("c_mktsegment").alias("status"))
+    return review.review_groups(n, ["BUILDING", "MACHINERY"], [3, 4]).withColumn("bodies", F.array_join("bodies", ","))
+
+
+@query("SELECT agg, string_agg(orig, ',' ORDER BY n DESC, orig) AS origs FROM (SELECT l_suppkey AS agg, l_partkey AS orig, count(*) AS n FROM lineitem WHERE l_suppkey <> 0 AND l_partkey <> 0 GROUP BY ALL) GROUP BY 1 HAVING count(*) > 1")
+def whole_merge_lists(spark, sf_dir):
+    """The parts that each supplier's items are made of, the most frequent first, over real ids."""
+    from .operators import mergetable
+
+    p = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("orig"), F.col("l_suppkey").alias("agg"))
+    return mergetable.merge_lists(p).select("agg", F.array_join(F.transform("origs", lambda x: x.cast("string")), ",").alias("origs"))
+
+
+@query("""
+WITH r AS (SELECT min(event_id) + (max(event_id) - min(event_id)) // 4 AS lo, max(event_id) - (max(event_id) - min(event_id)) // 4 AS hi FROM events)
+SELECT event_id, ts, user_id FROM events, r WHERE event_id BETWEEN lo AND hi AND event_type IN ('purchase', 'error')""")
+def log_middle(spark, sf_dir):
+    """Two kinds of events in the middle half of the log."""
+    from .operators import log
+
+    e = _t(spark, sf_dir, "events").withColumnsRenamed({"event_id": "mutid", "event_type": "action"})
+    at = e.agg(F.min("mutid").alias("a"), F.max("mutid").alias("b")).first()
+    lo, hi = (at["a"] + (at["b"] - at["a"]) // 4, at["b"] - (at["b"] - at["a"]) // 4) if at["a"] is not None else (0, 0)
+    return log.with_actions(log.in_range(e, first=lo, last=hi), ["purchase", "error"]).select(F.col("mutid").alias("event_id"), "ts", "user_id")

@@ -28,10 +28,11 @@ def query(sql: str | None = None):
 
 def _hashed(state: str, value: str) -> str:
     """SQL of the public 32-bit hash, written out with wide integers."""
-    v = f"(({value})::HUGEINT % 4294967296 * 3432918353 % 4294967296)"
-    v = f"(({v} * 32768 % 4294967296 + {v} // 131072) * 461845907 % 4294967296)"
+    first, second = coords._FACTORS
+    v = f"(({value})::HUGEINT % 4294967296 * {first} % 4294967296)"
+    v = f"(({v} * 32768 % 4294967296 + {v} // 131072) * {second} % 4294967296)"
     s = f"xor(({state})::BIGINT, {v}::BIGINT)"
-    return f"((({s}::HUGEINT * 8192 % 4294967296 + {s} // 524288) * 5 + 3864292196) % 4294967296)"
+    return f"((({s}::HUGEINT * 8192 % 4294967296 + {s} // 524288) * 5 + {coords._ADDEND}) % 4294967296)"
 
 
 @query(f"""

@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes rows as Parquet in the checkpoint folder and reads them again: lineage ends there, and constraints of earlier rounds too.
-
-    The cluster names the folder in spark.checkpoint.dir; on one machine a temporary one serves where there is none.
-    """
-    spark = df.sparkSession
+def shared_path(spark) -> str:
+    """A new path in the checkpoint folder. The cluster names that in spark.checkpoint.dir; on one machine a temporary one serves where there is none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='neurospan-')}"
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/neurospan-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/neurospan-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes rows as Parquet in the shared folder and reads them again: lineage ends there, and constraints of earlier rounds too."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

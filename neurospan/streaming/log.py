@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.log import parse
 
@@ -78,6 +79,31 @@ def into_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame
     return stream.sparkSession.table(name)
 
 
+def into_table(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream to its present end into Parquet in the shared folder, and returns what holds then.
+
+    complete: the last batch's rows; update: the last row of each key; append: all rows. A batch that runs
+    again writes the same files, and nothing is gathered on the driver.
+    """
+    from ..operators.graph import shared_path
+
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/rows/batch={epoch}")
+
+    stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), "batch").drop("batch")
+    if mode == "update":
+        others = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_last")).select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in stream.columns))
+    return rows.drop("batch")
+
+
 def into_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Writes a stream to Parquet, each row once."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
