@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +12,21 @@ from pyspark.sql import functions as F
 from ..functions.coords import morton
 
 
-def spatial_grids(shape: list[float], levels: int) -> list[dict]:
-    """Chunk and grid shapes of each level: an axis halves while it is at least as long as the chunk's mean."""
-    chunk, out = [float(max(1, s)) for s in shape], []
+def spatial_grids(shape: list[float], levels: int, scales: list[float] | None = None) -> list[dict]:
+    """Chunk and grid shapes of each level, from one chunk of the whole shape on.
+
+    At each level the widest axis halves, and others that are more than three quarters as wide, so that chunks
+    become nearly cubes; widths count in units of the axes' scales.
+    """
+    scales = scales or [1.0] * len(shape)
+    chunk, grid = [float(s) * k for s, k in zip(shape, scales)], [1] * len(shape)
+    out = []
     for _ in range(levels):
-        grid = [max(1, math.ceil(s / c)) for s, c in zip(shape, chunk)]
-        out.append({"chunk": list(chunk), "grid": grid})
-        mean = sum(chunk) / len(chunk)
-        chunk = [c / 2 if c >= mean else c for c in chunk]
+        out.append({"chunk": [c / k for c, k in zip(chunk, scales)], "grid": list(grid)})
+        widest = chunk.index(max(chunk))
+        halved = [i == widest or c > 0.75 * chunk[widest] for i, c in enumerate(chunk)]
+        chunk = [c / 2 if h else c for c, h in zip(chunk, halved)]
+        grid = [2 * g if h else g for g, h in zip(grid, halved)]
     return out
 
 
