@@ -292,3 +292,77 @@ def test_language_fit_counts_rows_of_an_id_once(spark):
     want = langid.train(own)
     assert m.languages == want.languages and np.allclose(m.log, want.log)
     assert langid.fit(df.limit(0)).languages == ["und"]
+
+
+def test_language_fusion_recomputed(spark):
+    """Every row's posterior from text, declaration and host, beside clashing columns, repeated rows, nulls and a long page."""
+    import numpy as np
+
+    from neurospan.llm import langid
+
+    r = random.Random(12)
+    words = {"de": "der die das und ist nicht", "en": "the of and to in is", "fr": "le la les et est pas"}
+    text = lambda lang: " ".join(r.choice(words[lang].split()) for _ in range(r.randrange(1, 9)))
+    model = langid.train([(k, v) for k, v in words.items()])
+    pages = []
+    for i in range(60):
+        lang = r.choice(list(words))
+        said = r.choice([None, lang, lang.upper(), "en", "xx-YY"])
+        body = r.choice([None, "", "<p></p>", f"<p>{text(lang)}</p>", f"<script>{text('en')}</script>{text(lang)}"])
+        html = body if said is None or body is None else f'<html lang="{said}">{body}</html>'
+        pages.append((i if i % 9 else None, r.choice([None, "", f"http://{r.choice('ab')}.{r.choice(['site', 'shop'])}.{lang}/x", f"https://u@h.{lang}:80?q"]), html))
+    pages += pages[:7] + [(99, "http://a.site.de/", "<b>" + "und die " * 60_000)]
+    df = spark.createDataFrame([(*p, "c", 1.0, 2, "d", "e") for p in pages], "page_id long, url string, html string, host string, p double, n int, declared string, domain string")
+    got = sorted(((q.page_id is not None, q.page_id or 0, q.host or "", q.declared or "", q.n, q.lang, round(q.confidence, 6)) for q in langid.identify(df, model, "page_id", "html", url=F.col("url"), markup=True).collect()))
+    rows_ = []
+    for i, url, html in pages:
+        n, logs = model.evidence(langid.visible(html or ""))
+        m = re.match(r"(?:[a-z]+:)?//(?:[^/@]*@)?([^/:?#]+)", url or "")
+        host = m and m[1]
+        p = np.exp(logs) / np.exp(logs).sum() if n else np.zeros(3)
+        rows_.append((i, host, host and ".".join(host.split(".")[-2:]), host and host.split(".")[-1], langid.declared_language(html or ""), n, logs, p))
+    top = sum(q[7] for q in rows_) + langid.SMOOTH
+    top /= top.sum()
+    down = lambda c, q, k: (c + k * q) / (c.sum() + k)
+    add = lambda keep: sum((q[7] for q in rows_ if keep(q)), np.zeros(3))
+    want = []
+    for i, host, domain, suffix, said, n, logs, p in rows_:
+        prior = top
+        if host:
+            s = down(add(lambda q: q[3] == suffix and q[1]), top, langid.STRENGTH["suffix"])
+            d = down(add(lambda q: q[2] == domain), s, langid.STRENGTH["domain"])
+            prior = down(np.maximum(add(lambda q: q[1] == host) - p, 0), d, langid.STRENGTH["host"])
+        z = logs + np.log(prior)
+        if said:
+            z = z + np.log(down(np.maximum(add(lambda q: q[4] == said) - p, 0), top, langid.SMOOTH * 3) / top)
+        post = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        want.append((i is not None, i or 0, host or "", said or "", n, model.languages[int(post.argmax())], round(float(post.max()), 6)))
+    assert got == sorted(want)
+
+
+def test_cosine_hash_recomputed(spark):
+    """The hash of a stored image by plain sums over its payload, row by row."""
+    from math import cos, pi
+
+    from neurospan.llm import media
+
+    def plain(payload):
+        w, h = media.WIDTH, len(payload) // media.WIDTH
+        span = lambda i, n: (min(i * n // 32, n - 1), max(min(i * n // 32, n - 1) + 1, (i + 1) * n // 32))
+        cell = [[0] * 32 for _ in range(32)]
+        for i in range(32):
+            for j in range(32):
+                (a, b), (c, d) = span(i, h), span(j, w)
+                cell[i][j] = sum(payload[y * w + x] for y in range(a, b) for x in range(c, d)) * 16 // ((b - a) * (d - c))
+        wave = [[round(cos(pi * u * (2 * x + 1) / 64) * 4096) for x in range(32)] for u in range(8)]
+        coef = [sum(wave[u][i] * cell[i][j] * wave[v][j] for i in range(32) for j in range(32)) for u in range(8) for v in range(8)]
+        middle = sorted(coef[1:])[31]
+        bits = "".join("1" if c > middle else "0" for c in coef)
+        return int(bits, 2).to_bytes(8, "big")
+
+    texts = ["", "a", "abc " * 500, "é" * 3000, "".join(chr(33 + k % 90) for k in range(20_000)), "\x00\uffff" * 70]
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (2, texts[2])], "doc_id long, text string")
+    got = media.read_media(media.write_media(df)).collect()
+    want = {hashlib.sha256(p).hexdigest(): plain(p) for t in texts for p in [media.payload_of(t)[1]]}
+    assert len(got) == 8 and all(bytes(q.hash) == want[q.payload_sha256] for q in got)
+    assert media.write_media(df.limit(0)).count() == 0
