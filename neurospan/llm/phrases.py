@@ -9,6 +9,7 @@ A phrase that is frequent passes the sketch in every shard, so its sum is exact.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,7 +29,7 @@ SCALE = 2_000_000
 CONTAINED = (100, 80)  # a candidate goes if 100 times a longer one's count is at least 80 times its own
 CELLS = (1 << 16, 1 << 25)  # counters of a sketch (a byte each), at least and at most
 BYTES = 16  # of text for which there is a counter, in between
-SHARD = 1 << 23  # bytes of text that one automaton scans, or a single text
+SHARD = 1 << 23  # bytes of text that one automaton scans, or a single piece of one
 TASK = 1 << 26  # bytes of text that a task takes at least, if all cores have one: the more, the fewer rows of a phrase are shuffled
 BLOCK = 1 << 15  # counters that are added up together
 PARTS = 32  # a language's phrases are ranked in so many parts first
@@ -36,6 +37,7 @@ PARTS = 32  # a language's phrases are ranked in so many parts first
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes to words parted by blanks and pieces parted by line feeds, ASCII letters in lower case.
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_ENDS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 
 
 def cells_for(n_bytes: int) -> int:
@@ -108,6 +110,15 @@ def counted(text: str, phrases: list[str]) -> np.ndarray:
     return np.bincount(places, minlength=len(phrases))
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about SHARD bytes, cut where pieces end; a piece stays whole."""
+    a = 0
+    while len(text) - a > SHARD and (m := _ENDS.search(text, a + SHARD)):
+        yield text[a : m.end()]
+        a = m.end()
+    yield text[a:] if a else text
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     """Shards of rows (lang, text): texts of a language together up to about SHARD bytes."""
     held: dict[str, list[bytes]] = {}
@@ -115,11 +126,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     for b in bounded(batches, 1, SHARD):
         texts = b.column(1).cast(pa.binary())
         for lang, text in zip(b.column(0).to_pylist(), texts.to_pylist()):
-            held.setdefault(lang, []).append(text)
-            size += len(text) + 1
-            if size >= SHARD:
-                yield from (Shard(k, v) for k, v in held.items())
-                held, size = {}, 0
+            for part in _pieces(text):
+                held.setdefault(lang, []).append(part)
+                size += len(part) + 1
+                if size >= SHARD:
+                    yield from (Shard(k, v) for k, v in held.items())
+                    held, size = {}, 0
     yield from (Shard(k, v) for k, v in held.items())
 
 

@@ -193,7 +193,7 @@ def test_phrases_match_brute_force(spark, monkeypatch, cells):
     pool = ["the", "The", "mit", "license", "a\x00b", "é", "日本", " ", "of", "x" * 40]
     text = lambda: "".join(r.choice(pool) + r.choice([" ", " ", " ", "\t", "  ", ". ", "\n", "\r", ", ", " ; "]) for _ in range(r.randrange(60)))
     rows = [(i, r.choice([None, "", text(), "the mit license of the mit license " * r.randrange(9), "a a a a a a"]), r.choice(["en", "en", None, "und", "日"])) for i in range(400)]
-    rows += rows[:40] + [(1, "long words " * 20_000, "en")]
+    rows += rows[:40] + [(1, "long words " * 20_000, "en"), (2, "The mit license, and the mit license. " * 2_000, "en"), (3, "!" * 9_000, "en")]
     df = documents(spark, rows)
     got = sorted(tuple(x) for x in phrases.collocations(df, top=50).collect())
     assert got == mined(rows, 30, 50)
