@@ -284,7 +284,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     found = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op")) == list(range(1, 11)) and "pipeline" in found
+    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op")) == list(range(1, 14)) and "pipeline" in found
     by = defaultdict(list)
     for n in found:
         by[n].append(n)
