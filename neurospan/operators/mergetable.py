@@ -212,3 +212,14 @@ def merge_lists(pairs: DataFrame) -> DataFrame:
     n = pairs.where("orig != 0 AND agg != 0").groupBy("orig", "agg").agg(F.count("*").alias("n"))
     lists = n.groupBy("agg").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "orig"))).alias("l"))
     return lists.where(F.size("l") > 1).select("agg", F.transform("l", lambda x: x["orig"]).alias("origs"))
+
+
+def edges_of_body(edges: DataFrame, body: int) -> DataFrame:
+    """Edges within one body, by the body that apply_mapping() gave them."""
+    return edges.where(F.col("body") == body)
+
+
+def edges_within(edges: DataFrame, svs: DataFrame) -> DataFrame:
+    """Edges with both ends among supervoxels (sv)."""
+    own = svs.select("sv").distinct()
+    return edges.join(own.withColumnRenamed("sv", "id_a"), "id_a", "left_semi").join(own.withColumnRenamed("sv", "id_b"), "id_b", "left_semi").select(*edges.columns)

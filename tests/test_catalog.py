@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from neurospan import catalog, catalog_image, catalog_proof, catalog_space
+from neurospan import catalog, catalog_image, catalog_proof, catalog_space, catalog_store
 
-QUERIES, ORACLES = catalog.QUERIES | catalog_space.QUERIES | catalog_image.QUERIES | catalog_proof.QUERIES, catalog.ORACLES | catalog_space.ORACLES | catalog_image.ORACLES | catalog_proof.ORACLES
+QUERIES, ORACLES = catalog.QUERIES | catalog_space.QUERIES | catalog_image.QUERIES | catalog_proof.QUERIES | catalog_store.QUERIES, catalog.ORACLES | catalog_space.ORACLES | catalog_image.ORACLES | catalog_proof.ORACLES | catalog_store.ORACLES
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
