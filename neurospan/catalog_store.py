@@ -15,6 +15,7 @@ from .operators import annotations, contacts, geometry, log, mergetable, synapse
 from .operators.graph import shared_path
 from .operators.tables import unordered_duplicated
 from .sources import sinks, store, tables
+from .streaming import log as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -542,3 +543,12 @@ def edges_within(spark, sf_dir):
     """Edges with both ends among small parts."""
     edges = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c("l_partkey").alias("id_a"), c("l_suppkey").alias("id_b"))
     return mergetable.edges_within(edges, _t(spark, sf_dir, "part").where("p_size < 20").select(c("p_partkey").alias("sv")))
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, last(o_orderpriority ORDER BY o_orderkey) AS o_orderpriority FROM orders GROUP BY 1")
+def stream_upserted(spark, sf_dir):
+    """Each customer's last order, kept by a stream of orders in buckets of a table."""
+    path = shared_path(spark)
+    s = stream.table_stream(spark, f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderpriority")
+    stream.upserts(s, f"{path}/table", ["o_custkey"], "o_orderkey", f"{path}/state").awaitTermination()
+    return stream.upserted(spark, f"{path}/table", s.schema)

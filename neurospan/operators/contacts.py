@@ -11,7 +11,7 @@ from .geometry import downsample, split_runs
 from .graph import settle
 
 AXES = ("z", "y", "x")
-_FACES = [(d, 0, 0) for d in (-1, 1)] + [(0, d, 0) for d in (-1, 1)] + [(0, 0, d) for d in (-1, 1)]
+_FACES = [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, 0, 1), (0, 1, 0), (1, 0, 0)]  # in scan order
 
 
 def grid_split_plan(runs: DataFrame, first: int, last: int, key: str = "sv") -> DataFrame:
@@ -82,16 +82,25 @@ def normalized(df: DataFrame, value: str, most: int | None = None) -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn(value, scaled).drop("_lo", "_hi")  # one row
 
 
-def _densest(at: np.ndarray, side: int) -> np.ndarray:
-    """The place of a cube that halving leads to, towards the octant with the most places; ties to the first in scan order."""
-    low = np.zeros(3, int)
-    while side > 1:
-        side //= 2
-        octant = ((at - low) // side) @ np.array([4, 2, 1])
-        best = int(np.bincount(octant, minlength=8).argmax())
-        at = at[octant == best]
-        low = low + side * np.array([best >> 2, best >> 1 & 1, best & 1])
-    return at[0]
+def _chosen(side: int):
+    """Of a cube's places (codes: 8 times the place in scan order, and a face) the one that halving leads to, towards the octant with the most; ties to the first in scan order."""
+
+    def one(codes: np.ndarray) -> int:
+        codes = np.sort(codes)
+        at, half = codes >> 3, side
+        z, y, x = at // (side * side), at // side % side, at % side
+        while half > 1 and len(codes) > 1:
+            half //= 2
+            octant = (z // half % 2) * 4 + (y // half % 2) * 2 + x // half % 2
+            own = octant == np.bincount(octant, minlength=8).argmax()
+            codes, z, y, x = codes[own], z[own], y[own], x[own]
+        return int(codes[0])
+
+    @F.pandas_udf("long")
+    def choose(codes: pd.Series) -> pd.Series:
+        return pd.Series([one(np.asarray(v, np.int64)) for v in codes], dtype="int64")
+
+    return choose
 
 
 def contact_points(tasks: DataFrame, voxels: DataFrame, scales: int = 3, radius: int = 64) -> DataFrame:
@@ -101,7 +110,7 @@ def contact_points(tasks: DataFrame, voxels: DataFrame, scales: int = 3, radius:
     for voxels of label_2 with a face of label_1; the first scale with any counts. Halving the cube towards the
     octant with most of them gives the second point, its first neighbour of label_1 in scan order the first. Status
     is adjusted-at-scale-N, or misplaced, where points stay. The radius is a power of 2. Image voxels are (z, y, x,
-    label); the cube bounds what a task gathers, and labels meet tasks by blocks, so that large labels are spread.
+    label); a task gathers one number a meeting voxel of its cube, and labels meet tasks by blocks, so that large labels are spread.
     """
     side = 2 * radius
     if side & (side - 1):
@@ -123,20 +132,20 @@ def contact_points(tasks: DataFrame, voxels: DataFrame, scales: int = 3, radius:
                 hit = hit.where((F.col(a) >= F.col(f"l{a}")) & (F.col(a) < F.col(f"l{a}") + side))
             return hit.select("task", *AXES, *(f"l{a}" for a in AXES))
 
-        def moved(d: tuple[int, int, int]) -> Column:
-            return F.struct(*((F.col(a) + k).alias(a) for a, k in zip(AXES, d)), *(F.col(a).alias(f"o{a}") for a in AXES))
-
-        ones = within("label_1").select("task", F.inline(F.array(*map(moved, _FACES))))
-        first = ones.groupBy("task", *AXES).agg(F.min(F.struct("oz", "oy", "ox")).alias("o"))
-        meet = within("label_2").join(first, ["task", *AXES]).select("task", *((F.col(a) - F.col(f"l{a}")).alias(a) for a in AXES), *(F.col(f"l{a}") for a in AXES), "o.*")
-
-        def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(list(AXES))
-            at = pdf[list(AXES)].to_numpy(np.int64)
-            one = pdf[(at == _densest(at, side)).all(axis=1)].iloc[:1]
-            return pd.DataFrame({"task": one.task, **{f"{a}1": one[f"o{a}"] for a in AXES}, **{f"{a}2": one[a] + one[f"l{a}"] for a in AXES}})
-
-        got = meet.groupBy("task").applyInPandas(choose, "task long, z1 long, y1 long, x1 long, z2 long, y2 long, x2 long")
+        def moved(k: int, d: tuple[int, int, int]) -> Column:
+            """The voxel that has this one as its k-th neighbour."""
+            return F.struct(*((F.col(a) - v).alias(a) for a, v in zip(AXES, d)), F.lit(k).alias("face"))
+
+        ones = within("label_1").select("task", F.inline(F.array(*(moved(k, d) for k, d in enumerate(_FACES)))))
+        first = ones.groupBy("task", *AXES).agg(F.min("face").alias("face"))
+        meet = within("label_2").join(first, ["task", *AXES])
+        place = ((F.col("z") - F.col("lz")) * side + F.col("y") - F.col("ly")) * side + F.col("x") - F.col("lx")
+        best = meet.groupBy("task", "lz", "ly", "lx").agg(F.collect_list(8 * place + F.col("face")).alias("codes")).withColumn("code", _chosen(side)("codes"))
+        face, at = F.col("code") % 8, F.floor(F.col("code") / 8).cast("long")
+        second = dict(zip(AXES, (F.floor(at / (side * side)).cast("long"), F.floor(at / side).cast("long") % side, at % side)))
+        offset = {a: F.element_at(F.array(*(F.lit(d[n]) for d in _FACES)), (face + 1).cast("int")) for n, a in enumerate(AXES)}
+        two = {a: F.col(f"l{a}") + second[a] for a in AXES}
+        got = best.select("task", *((two[a] + offset[a]).alias(f"{a}1") for a in AXES), *(two[a].alias(f"{a}2") for a in AXES))
         up = got.select("task", F.lit(f"adjusted-at-scale-{scale}").alias("status"), *((F.col(f"{a}{k}") * (1 << scale)).alias(f"{a}{k}") for k in (1, 2) for a in AXES))
         up = settle(up)
         found = up if found is None else found.unionByName(up)

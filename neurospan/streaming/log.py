@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.log import parse
+from ..operators.tables import keep_one
 
 
 def lines(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -109,17 +110,54 @@ def into_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
-def upserts(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """Keeps the last row of each key in generations of a Parquet table; a batch that runs again writes the same generation."""
-    from ..operators.tables import keep_one
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    spark = stream.sparkSession
+
+def _held(spark: SparkSession, path: str, before: int | None = None) -> tuple[int | None, dict[int, int]]:
+    """The last whole batch (before another) and the generation of each bucket after it: as many entries as buckets."""
+    fs, root = _file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    done = sorted((int(n[5:]) for n in names if n.startswith("held=")), reverse=True)
+    for e in done:
+        if (before is None or e < before) and fs.exists(_file_system(spark, f"{path}/held={e}/_SUCCESS")[1]):
+            return e, {r.bucket: r.g for r in spark.read.schema("bucket int, g long").json(f"{path}/held={e}").collect()}
+    return None, {}
+
+
+def upserts(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64):
+    """Keeps the last row of each key, by the order, in buckets of a Parquet table; upserted() reads it.
+
+    A batch writes anew only buckets that it has keys of, as path/g=batch/bucket=n, and lists each bucket's
+    generation in path/held=batch. A batch that runs again reads what the one before it left and writes the same;
+    generations that neither of the last two batches lists are removed. The number of buckets stays for a path.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    number = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        base, now = f"{path}/g={epoch - 1}", f"{path}/g={epoch}"
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-        there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        rows = df if not there else spark.read.parquet(base).unionByName(df)
-        keep_one(rows, keys, [order], last=True).write.mode("overwrite").parquet(now)
+        dealt = df.withColumn("bucket", number).persist()
+        last, held = _held(spark, path, epoch)
+        touched = sorted(r.bucket for r in dealt.select("bucket").distinct().collect())
+        there = [f"{path}/g={held[b]}/bucket={b}" for b in touched if b in held]
+        rows = dealt if not there else spark.read.schema(schema).parquet(*there).withColumn("bucket", number).unionByName(dealt)
+        kept = keep_one(rows.repartition("bucket"), ["bucket", *keys], [order], last=True)
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/g={epoch}")
+        now = held | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(sorted(now.items()), "bucket int, g long").coalesce(1).write.mode("overwrite").json(f"{path}/held={epoch}")
+        dealt.unpersist()
+        if last is not None:
+            fs, _ = _file_system(spark, path)
+            for b, g in _held(spark, path, last)[1].items():
+                if g not in (held.get(b), now.get(b)):
+                    fs.delete(_file_system(spark, f"{path}/g={g}/bucket={b}")[1], True)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that upserts() holds after its last whole batch."""
+    _, held = _held(spark, path)
+    places = [f"{path}/g={g}/bucket={b}" for b, g in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)

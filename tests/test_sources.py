@@ -73,3 +73,24 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q = stream.upserts(s.select("k", "id"), str(tmp_path / "u"), ["k"], "id", str(tmp_path / "c"))
     q.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "u" / "g=0")).select("k", "id")) == [("a", 2), ("b", 3)]
+
+
+def test_upserts_rewrite_only_touched_buckets(spark, tmp_path):
+    """Three batches: rows by key and order as a dictionary has them, old generations gone, a batch run again the same."""
+    src, out, at = tmp_path / "s", str(tmp_path / "u"), str(tmp_path / "c")
+    want, names = {}, "k string, id long, v string"
+    for n, new in enumerate(([("a", 1, "x"), ("b", 1, "x"), (None, 4, "x")], [("a", 0, "late"), ("c", 1, "y")], [("a", 5, "z"), ("c", 3, "z"), ("c", 2, "y")])):
+        spark.createDataFrame(new, names).coalesce(1).write.mode("append").parquet(str(src))
+        for k, i, v in new:
+            want[k] = max(want.get(k, (-1, "")), (i, v))
+        s = spark.readStream.schema(names).parquet(str(src))
+        stream.upserts(s, out, ["k"], "id", at, buckets=8).awaitTermination()
+        got = stream.upserted(spark, out, s.schema)
+        assert {r.k: (r.id, r.v) for r in got.collect()} == want and got.count() == len(want)
+        assert stream._held(spark, out)[0] == n
+    last = stream._held(spark, out)[1]
+    assert set(last.values()) == {0, 2}  # b's and the null's buckets weren't written again
+    kept = {(int(g.name[2:]), int(b.name[7:])) for g in (tmp_path / "u").glob("g=*") for b in g.glob("bucket=*")}
+    before = set((g, b) for b, g in stream._held(spark, out, 2)[1].items())
+    assert kept == before | {(g, b) for b, g in last.items()}
+    assert stream.upserted(spark, str(tmp_path / "none"), s.schema).count() == 0
