@@ -55,22 +55,22 @@ def sessions(stream: DataFrame, time: str, gap: str, key: str, delay: str) -> Da
 
 
 def body_states(events: DataFrame) -> DataFrame:
-    """(body, state, mutid) after each batch, by state kept for each body. events: (body, mutid, seq, event)."""
+    """(body, state, mutid) after each batch, by state kept for each body. events: (body, mutid, seq, event), in any order."""
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, last, at = state.get if state.exists else (None, None, None)
+        first, last, at, since = state.get if state.exists else (None, None, None, None)
         for pdf in batches:
             for m, s, e in sorted(zip(pdf.mutid, pdf.seq, pdf.event)):
-                if first is None:
-                    first = e
+                if since is None or (m, s) < tuple(since):
+                    first, since = e, [int(m), int(s)]
                 if at is None or (m, s) >= tuple(at):
                     last, at = e, [int(m), int(s)]
-        state.update((first, last, at))
+        state.update((first, last, at, since))
         made, gone = first == "new", last == "removed"
         name = None if made and gone else "removed" if gone else "new" if made else "changed"
         yield pd.DataFrame({"body": [key[0]], "state": [name], "mutid": [at[0]]})
 
-    return events.groupBy("body").applyInPandasWithState(run, "body long, state string, mutid long", "first string, last string, at array<long>", "update", "NoTimeout")
+    return events.groupBy("body").applyInPandasWithState(run, "body long, state string, mutid long", "first string, last string, at array<long>, since array<long>", "update", "NoTimeout")
 
 
 def into_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
