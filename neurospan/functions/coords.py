@@ -22,9 +22,21 @@ def pack_point(z, y, x) -> Column:
     return F.shiftleft(part(z), 2 * BITS).bitwiseOR(F.shiftleft(part(y), BITS)).bitwiseOR(part(x))
 
 
-def unpack_point(point) -> tuple[Column, Column, Column]:
+def unpack_point(point, wraps=None) -> tuple[Column, Column, Column]:
     p = _long(point)
-    return tuple(F.shiftright(F.shiftleft(p, 1 + BITS * k), 64 - BITS).cast("int") for k in range(3))
+    low = [F.shiftright(F.shiftleft(p, 1 + BITS * k), 64 - BITS) for k in range(3)]
+    return tuple(_rewrapped(low, wraps))
+
+
+def point_wraps(z, y, x) -> Column:
+    """What coordinates have beyond the 21 signed bits of a point id, as an id of the same form: 0 for all that fit. Ids of coordinates beyond 2^20 stay apart with it, up to 2^31."""
+    return pack_point(*(F.shiftright(_long(c) + F.lit(1 << (BITS - 1)), BITS) for c in (z, y, x)))
+
+
+def _rewrapped(low: list[Column], wraps) -> list[Column]:
+    if wraps is None:
+        return [c.cast("int") for c in low]
+    return [(c + F.shiftleft(w.cast("long"), BITS)).cast("int") for c, w in zip(low, unpack_point(wraps))]
 
 
 def pack_block_point(z, y, x, log2: int = 6) -> Column:
@@ -37,14 +49,14 @@ def pack_block_point(z, y, x, log2: int = 6) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), blocks + inner)
 
 
-def unpack_block_point(point, log2: int = 6) -> tuple[Column, Column, Column]:
+def unpack_block_point(point, log2: int = 6, wraps=None) -> tuple[Column, Column, Column]:
     high, p, out = BITS - log2, _long(point), []
     for k in range(3):
         block = F.shiftright(p, 3 * log2 + high * (2 - k)).bitwiseAND(F.lit((1 << high) - 1))
         inner = F.shiftright(p, log2 * (2 - k)).bitwiseAND(F.lit((1 << log2) - 1))
         raw = F.shiftleft(block, log2).bitwiseOR(inner).bitwiseXOR(F.lit(1 << (BITS - 1)))
-        out.append(F.shiftright(F.shiftleft(raw, 64 - BITS), 64 - BITS).cast("int"))
-    return tuple(out)
+        out.append(F.shiftright(F.shiftleft(raw, 64 - BITS), 64 - BITS))
+    return tuple(_rewrapped(out, wraps))
 
 
 def pack_aligned_block(z, y, x, log2: int = 6) -> Column:
@@ -54,8 +66,9 @@ def pack_aligned_block(z, y, x, log2: int = 6) -> Column:
     return pack_point(checked(z), checked(y), checked(x))
 
 
-def unpack_aligned_block(block, log2: int = 6) -> tuple[Column, Column, Column]:
-    return tuple(F.shiftleft(c, log2) for c in unpack_point(block))
+def unpack_aligned_block(block, log2: int = 6, wraps=None) -> tuple[Column, Column, Column]:
+    """The voxel coordinates, as longs with point_wraps of the blocks' places."""
+    return tuple(F.shiftleft(c if wraps is None else c.cast("long"), log2) for c in unpack_point(block, wraps))
 
 
 def pack_with_width(z, y, x, bits: int) -> Column:
