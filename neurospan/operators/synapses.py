@@ -177,7 +177,7 @@ def prop_columns(elements: DataFrame, props: list[str]) -> DataFrame:
 
 
 def tiebars_to_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points and partners of files that list T-bars with their partners: data[].T-bar{location, confidence}, partners[]."""
+    """Points and partners of files that list T-bars with their partners: data[].T-bar{location, confidence}, partners[]. A place counts once for each kind."""
     from ..functions.coords import pack_point
 
     place = "location:array<int>,confidence:string"
@@ -191,4 +191,4 @@ def tiebars_to_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     bar = F.col("d")["T-bar"]
     pres = rows.select(*point(bar, PRE))
     each = rows.select(bar.alias("bar"), F.explode(F.col("d")["partners"]).alias("p"))
-    return pres.union(each.select(*point(F.col("p"), POST))).dropDuplicates(["point_id", "kind"]), each.select(at(F.col("bar")).alias("pre_id"), at(F.col("p")).alias("post_id"))
+    return pres.union(each.select(*point(F.col("p"), POST))).dropDuplicates(["z", "y", "x", "kind"]), each.select(at(F.col("bar")).alias("pre_id"), at(F.col("p")).alias("post_id"))
