@@ -99,7 +99,7 @@ def organelle_stats(spark, sf_dir):
 
 def _regions(spark, sf_dir) -> DataFrame:
     voxels = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("roi"), F.col("l_linenumber").alias("z"), F.col("l_suppkey").alias("y"), F.expr("l_partkey div 3").alias("x"))
-    return geometry.encode_runs(voxels.distinct(), ["roi"])
+    return geometry.encode_runs(voxels, ["roi"])
 
 
 @query("""
@@ -154,7 +154,7 @@ SELECT body, count(*) AS voxels, first(z ORDER BY z, y, x)::BIGINT AS z, first(y
 def run_payload_facts(spark, sf_dir):
     """Sizes and first voxels read from suppliers' run payloads."""
     item = _t(spark, sf_dir, "lineitem")
-    vox = item.select(F.col("l_suppkey").alias("body"), F.col("l_linenumber").alias("z"), F.col("l_quantity").cast("int").alias("y"), F.col("l_partkey").cast("int").alias("x")).distinct()
+    vox = item.select(F.col("l_suppkey").alias("body"), F.col("l_linenumber").alias("z"), F.col("l_quantity").cast("int").alias("y"), F.col("l_partkey").cast("int").alias("x"))
     return formats.run_payload_facts(tables.encode_run_payload(geometry.encode_runs(vox, ["body"])), payload="data")
 
 

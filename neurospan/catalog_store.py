@@ -269,7 +269,7 @@ def labels_at_points(spark, sf_dir):
 
 def _regions(spark, sf_dir) -> DataFrame:
     voxels = _t(spark, sf_dir, "lineitem").select(c("l_returnflag").alias("roi"), c("l_linenumber").alias("z"), c("l_suppkey").alias("y"), c("l_partkey").alias("x"))
-    return geometry.encode_runs(voxels.distinct(), ["roi"])
+    return geometry.encode_runs(voxels, ["roi"])
 
 
 _CELLS = "v AS MATERIALIZED (SELECT DISTINCT l_returnflag AS roi, l_linenumber AS z, l_suppkey AS y, l_partkey AS x FROM lineitem)"
