@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .geometry import dealt
 from .graph import connected_components, settle
 from .shapes import closest_approach  # noqa: F401
 from .tables import numbered
@@ -102,7 +103,8 @@ def mode_downsample(voxels: DataFrame, factor: int, ignore_zero: bool = False, l
 def mask_downsample(mask: DataFrame, factor: int, how: str = "or") -> DataFrame:
     """Blocks of a mask of which any (or) or every (and) voxel is set."""
     cell = [F.floor(F.col(a) / factor).cast("int").alias(a) for a in AXES]
-    n = mask.select(*AXES).distinct().select(*cell).groupBy(*AXES).agg(F.count("*").alias("n"))
+    voxels = dealt(mask.select(*AXES, F.xxhash64(*cell).alias("_h")), "_h")
+    n = voxels.distinct().select("_h", *cell).groupBy("_h", *AXES).agg(F.count("*").alias("n"))
     return (n if how == "or" else n.where(F.col("n") == factor**3)).select(*AXES)
 
 
