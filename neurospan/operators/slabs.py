@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import floor
 
@@ -93,16 +94,35 @@ def block_masks(runs: DataFrame, side: int, halo: int = 0) -> DataFrame:
     """(bz, by, bx, z0, y0, x0, z1, y1, x1, mask) of the blocks of a grid that runs (z, y, x0, x1) touch: bits of the block with its halo, in scan order, eight a byte, the first one highest."""
     wide = side + 2 * halo
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        low = [k * side - halo for k in key]
-        mask = np.zeros((wide,) * 3, bool)
-        for z, y, a, b in zip(rows["z"] - low[0], rows["y"] - low[1], rows["x0"] - low[2], rows["x1"] - low[2]):
-            mask[z, y, a : b + 1] = True
-        return pd.DataFrame([(*key, *low, *(v + wide for v in low), np.packbits(mask).tobytes())], columns=[c.split()[0] for c in form.split(", ")])
+    def masks(rows: pd.DataFrame) -> Iterator[tuple]:
+        at = rows[["bz", "by", "bx"]].to_numpy()
+        low = at * side - halo
+        line = ((rows["z"].to_numpy() - low[:, 0]) * wide + rows["y"].to_numpy() - low[:, 1]) * wide - low[:, 2]
+        starts, lengths = line + rows["x0"].to_numpy(), (rows["x1"] - rows["x0"] + 1).to_numpy()
+        ends = np.append(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, len(at))
+        first = 0
+        for end in ends.tolist():
+            mask, n = np.zeros(wide**3, bool), lengths[first:end]
+            mask[np.repeat(starts[first:end] - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
+            corner = low[first].tolist()
+            yield (*at[first].tolist(), *corner, *(v + wide for v in corner), np.packbits(mask).tobytes())
+            first = end
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # a block that may go on in the next batch
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            last = (rows[["bz", "by", "bx"]] == rows[["bz", "by", "bx"]].iloc[-1]).all(axis=1) if len(rows) else []
+            held, rows = (rows[last], rows[~last]) if len(rows) else (None, rows)
+            if len(rows):
+                yield pd.DataFrame(list(masks(rows)), columns=names)
+        if held is not None:
+            yield pd.DataFrame(list(masks(held)), columns=names)
 
     form = "bz long, by long, bx long, z0 long, y0 long, x0 long, z1 long, y1 long, x1 long, mask binary"
+    names = [c.split()[0] for c in form.split(", ")]
     cut = split_runs(runs.select(*(F.col(c).cast("long").alias(c) for c in ("z", "y", "x0", "x1"))), side, halo)
-    return cut.groupBy("bz", "by", "bx").applyInPandas(run, form)
+    return cut.select("bz", "by", "bx", "z", "y", "x0", "x1").repartition("bz", "by", "bx").sortWithinPartitions("bz", "by", "bx").mapInPandas(run, form)
 
 
 def masks_to_voxels(masks: DataFrame, side: int, halo: int = 0) -> DataFrame:
@@ -111,10 +131,17 @@ def masks_to_voxels(masks: DataFrame, side: int, halo: int = 0) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            made, n = [], 0
             for z0, y0, x0, mask in zip(b["z0"], b["y0"], b["x0"], b["mask"]):
                 bits = np.unpackbits(np.frombuffer(bytes(mask), np.uint8), count=wide**3).reshape((wide,) * 3)
                 at = np.nonzero(bits)
-                yield pd.DataFrame({"z": at[0] + z0, "y": at[1] + y0, "x": at[2] + x0})
+                made.append([a + low for a, low in zip(at, (z0, y0, x0))])
+                n += len(at[0])
+                if n >= 100_000:
+                    yield pd.DataFrame(dict(zip(AXES, map(np.concatenate, zip(*made)))))
+                    made, n = [], 0
+            if made:
+                yield pd.DataFrame(dict(zip(AXES, map(np.concatenate, zip(*made)))))
 
     got = masks.select("z0", "y0", "x0", "mask").mapInPandas(run, "z long, y long, x long")
     return got.distinct() if halo else got
