@@ -127,7 +127,7 @@ def contact_points(tasks: DataFrame, voxels: DataFrame, scales: int = 3, radius:
 
         def within(name: str) -> DataFrame:
             own = boxes.select("task", F.col(name).alias("label"), *(f"l{a}" for a in AXES), *(f"c{a}" for a in AXES))
-            hit = cells.join(own, ["label", "cz", "cy", "cx"])
+            hit = cells.join(own.hint("merge"), ["label", "cz", "cy", "cx"])  # a small file of tasks makes many rows: no broadcast
             for a in AXES:
                 hit = hit.where((F.col(a) >= F.col(f"l{a}")) & (F.col(a) < F.col(f"l{a}") + side))
             return hit.select("task", *AXES, *(f"l{a}" for a in AXES))
@@ -138,7 +138,7 @@ def contact_points(tasks: DataFrame, voxels: DataFrame, scales: int = 3, radius:
 
         ones = within("label_1").select("task", F.inline(F.array(*(moved(k, d) for k, d in enumerate(_FACES)))))
         first = ones.groupBy("task", *AXES).agg(F.min("face").alias("face"))
-        meet = within("label_2").join(first, ["task", *AXES])
+        meet = within("label_2").join(first.hint("merge"), ["task", *AXES])
         place = ((F.col("z") - F.col("lz")) * side + F.col("y") - F.col("ly")) * side + F.col("x") - F.col("lx")
         best = meet.groupBy("task", "lz", "ly", "lx").agg(F.collect_list(8 * place + F.col("face")).alias("codes")).withColumn("code", _chosen(side)("codes"))
         face, at = F.col("code") % 8, F.floor(F.col("code") / 8).cast("long")
@@ -149,6 +149,6 @@ def contact_points(tasks: DataFrame, voxels: DataFrame, scales: int = 3, radius:
         up = got.select("task", F.lit(f"adjusted-at-scale-{scale}").alias("status"), *((F.col(f"{a}{k}") * (1 << scale)).alias(f"{a}{k}") for k in (1, 2) for a in AXES))
         up = settle(up)
         found = up if found is None else found.unionByName(up)
-        open_ = settle(open_.join(up.select("task"), "task", "left_anti"))
+        open_ = settle(open_.join(up.select("task").hint("merge"), "task", "left_anti"))
     rest = open_.select("task", F.lit("misplaced").alias("status"), *(F.col(f"{a}{k}").cast("long").alias(f"{a}{k}") for k in (1, 2) for a in AXES))
     return found.unionByName(rest)
