@@ -21,17 +21,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, tune
+from .common import bounded, discard, materialize, tune
 
 LEAST, WORDS, TOP = 30, 4, 2000
 NO_LANGUAGE = "und"
 SCALE = 2_000_000
 CONTAINED = (100, 80)  # a candidate goes if 100 times a longer one's count is at least 80 times its own
-CELLS = (1 << 16, 1 << 25)  # counters of a sketch (a byte each), at least and at most
+CELLS = (1 << 16, 1 << 30)  # counters of a sketch, at least and at most; workers and the driver hold a bit of each
 BYTES = 16  # of text for which there is a counter, in between
 SHARD = 1 << 23  # bytes of text that one automaton scans, or a single piece of one
 TASK = 1 << 26  # bytes of text that a task takes at least, if all cores have one: the more, the fewer rows of a phrase are shuffled
-BLOCK = 1 << 15  # counters that are added up together
+BLOCK = 1 << 20  # counters that are added up together
 PARTS = 32  # a language's phrases are ranked in so many parts first
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -71,19 +71,23 @@ class Shard:
             h = (h ^ (h >> np.uint64(31))) * _B
             yield within, h
 
-    def cells(self, bits: int) -> Iterator[np.ndarray]:
-        for within, h in self.grams():
-            yield (h[within] >> np.uint64(64 - bits)).astype(np.int32)
+    def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counters, rising, that phrases of 1 to WORDS words here add to, and how much (255 at most)."""
+        at = np.concatenate([(h[within] >> np.uint64(64 - bits)).astype(np.uint32) for within, h in self.grams()])
+        at.sort()
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+        return at[first], np.minimum(np.diff(first, append=len(at)), 255).astype(np.uint8)
 
-    def candidates(self, sketch: np.ndarray, bits: int, least: int) -> tuple[list[str], list[int]]:
-        """Distinct phrases here, with the numbers of their words, whose bounds and whose parts' bounds reach the least count."""
+    def candidates(self, sketch: np.ndarray, bits: int) -> tuple[list[str], list[int]]:
+        """Distinct phrases here, with the numbers of their words, whose counters and whose parts' counters have their bit set."""
         found, sizes, before, ids = [], [], None, None
         for n, (within, h) in enumerate(self.grams(), 1):
-            passed = within & (sketch[(h >> np.uint64(64 - bits)).astype(np.int64)] >= least)
-            if n > 1:
-                passed &= before[:-1] & before[1:]
+            at = np.flatnonzero(within if n == 1 else within & before[:-1] & before[1:])
+            cell = h[at] >> np.uint64(64 - bits)
+            at = at[(sketch[(cell >> np.uint64(3)).astype(np.int64)] << (cell & np.uint64(7)).astype(np.uint8)) & 128 > 0]
+            passed = np.zeros(len(within), bool)
+            passed[at] = True
             # ids tell phrases apart exactly: the id of all words but the last, then the last one's
-            at = np.flatnonzero(passed)
             key = self.codes[at] if n == 1 else ids[at] * len(self.words) + self.codes[at + n - 1]
             _, first, own = np.unique(key, return_index=True, return_inverse=True)
             ids = np.zeros(len(passed), np.int64)
@@ -135,44 +139,63 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     yield from (Shard(k, v) for k, v in held.items())
 
 
-def sketch_of(texts: DataFrame, bits: int) -> np.ndarray:
-    """Counters of all phrases of 1 to WORDS words, saturating at 255. The driver gets 1 << bits bytes, CELLS at most."""
+def _packed(cells: np.ndarray, n: np.ndarray) -> bytes:
+    """Rising numbers of counters within a block by their gaps, plane by plane of bytes, then what they get."""
+    gaps = np.diff(cells, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + n.tobytes())
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(5, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), dtype=np.int64), planes[4]
+
+
+def sketch_of(texts: DataFrame, bits: int, least: int = LEAST) -> np.ndarray:
+    """A bit for each of 1 << bits counters of phrases of 1 to WORDS words: whether it reaches the least count, or 255.
+
+    Counters are added up block by block in tasks, where their bytes stay; the driver gets the bits, 1 << bits - 3 bytes.
+    """
+    limit, block = min(least, 255), min(BLOCK, 1 << bits)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.uint8)
         for shard in _shards(batches):
-            for own in shard.cells(bits):
-                at, n = np.unique(own, return_counts=True)
-                cells[at] = np.minimum(cells[at] + n, 255)
-        cells = cells.reshape(-1, min(BLOCK, 1 << bits))
-        for k in np.flatnonzero(cells.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(cells[k].tobytes())], pa.binary())], names=["block", "cells"])
+            cells, n = shard.cells(bits)
+            own = cells // np.uint32(block)
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            packed = [_packed(cells[a:b] % np.uint32(block), n[a:b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)])]
+            yield pa.RecordBatch.from_arrays([pa.array(own[starts], pa.int32()), pa.array(packed, pa.binary())], names=["block", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        row = lambda k, sums: pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(sums >= limit).tobytes()], pa.binary())], names=["block", "cells"])
+        at, sums = None, np.zeros(block, np.uint8)
         for b in batches:
-            for k, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = np.frombuffer(zstandard.decompress(cells), np.uint8)
-                sums[k] = np.minimum(sums[k].astype(np.uint16) + own, 255).astype(np.uint8) if k in sums else own
-        for k, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "cells"])
+            for k, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if k != at:
+                    if at is not None:
+                        yield row(at, sums)
+                    at, sums = k, np.zeros(block, np.uint8)
+                cells, n = _unpacked(data.as_py())
+                sums[cells] += np.minimum(n, 255 - sums[cells])
+        if at is not None:
+            yield row(at, sums)
 
     form = "block int, cells binary"
-    out = np.zeros((max(1, (1 << bits) // BLOCK), min(BLOCK, 1 << bits)), np.uint8)
-    for r in texts.mapInArrow(add, form).repartition("block").mapInArrow(merge, form).toLocalIterator():
+    out = np.zeros((max(1, (1 << bits) // block), -(-block // 8)), np.uint8)
+    merged = materialize(texts.mapInArrow(add, form).repartition("block").sortWithinPartitions("block").mapInArrow(merge, form))
+    for r in merged.toLocalIterator():
         out[r["block"]] = np.frombuffer(r["cells"], np.uint8)
+    discard(merged)
     return out.reshape(-1)
 
 
 def phrase_counts(texts: DataFrame, sketch: np.ndarray, least: int = LEAST) -> DataFrame:
-    """(lang, phrase, words, f) of phrases of 1 to WORDS words with f >= least, f exact; phrase '' has all words' number."""
+    """(lang, phrase, words, f) of phrases of 1 to WORDS words with f >= least, f exact; phrase '' has all words' number. sketch: that of the least count or a lower one."""
     spark = texts.sparkSession
-    held, bits = spark.sparkContext.broadcast(sketch), len(sketch).bit_length() - 1
-    limit = min(least, 255)  # where counters saturate
+    held, bits = spark.sparkContext.broadcast(sketch), len(sketch).bit_length() + 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            found, sizes = shard.candidates(held.value, bits, limit)
+            found, sizes = shard.candidates(held.value, bits)
             counts = counted(shard.text(), found)
             found, sizes, counts = [*found, ""], [*sizes, 0], [*counts.tolist(), int(shard.word.sum())]
             yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "words", "f"])
@@ -225,7 +248,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = cells_for(size).bit_length() - 1
     texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK)))
-    counts = materialize(phrase_counts(texts, sketch_of(texts, bits), least))
+    counts = materialize(phrase_counts(texts, sketch_of(texts, bits, least), least))
     found = materialize(scored(counts, least))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
