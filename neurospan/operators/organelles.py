@@ -42,11 +42,24 @@ def sampled_points(points: DataFrame, count: int | None, regions: DataFrame | No
     """points (id, z, y, x) drawn by a seeded hash of their ids: within a region, no two nearer than a distance, count at most.
 
     The same points are drawn however they are partitioned. Nearby points give way to those that come first by
-    the hash, before any are counted, so as many as asked for are found if there are that many.
+    the hash, before any are counted, so as many as asked for are found if there are that many. Whether a point
+    stays depends on those before it alone: only the points before a hash are looked at, and more if too few stay.
     """
-    own = points.where("id IS NOT NULL AND z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL").dropDuplicates(["id"])
-    if roi is not None:
-        own = points_in_regions(own.drop("roi"), regions, log2).where(F.col("roi") == roi).drop("roi")
-    if minimum_distance > 0:
-        own = prune_close(settle(own), minimum_distance, seed)
-    return own if count is None else own.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(count)
+    every = points.where("id IS NOT NULL AND z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL")
+    h = F.xxhash64("id", F.lit(seed))
+
+    def drawn(own: DataFrame) -> DataFrame:
+        own = own.dropDuplicates(["id"])
+        if roi is not None:
+            own = points_in_regions(own.drop("roi"), regions, log2).where(F.col("roi") == roi).drop("roi")
+        return prune_close(settle(own), minimum_distance, seed) if minimum_distance > 0 else own
+
+    if count is None:
+        return drawn(every)
+    total, tries = every.count(), 4 * count
+    while tries < total:
+        got = settle(drawn(every.where(h < (tries << 64) // total - (1 << 63))))
+        if got.count() >= count:
+            return got.orderBy(h, "id").limit(count)
+        tries *= 4
+    return drawn(every).orderBy(h, "id").limit(count)
