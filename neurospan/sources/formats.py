@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import csv_header, read_csv
 
+ROWS = 100_000  # of nodes that are read together
+
 
 def encode_skeletons(skeletons: DataFrame, resolution: float = 8.0, key: str = "body") -> DataFrame:
     """(key, buffer) of skeletons (key, node, x, y, z, parent): vertices in nanometres by rising node number, then edges of nodes and parents.
@@ -20,24 +23,49 @@ def encode_skeletons(skeletons: DataFrame, resolution: float = 8.0, key: str = "
     skeleton is one row of the result, so it fits a task.
     """
 
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        place = dict(zip(rows["node"].tolist(), range(len(rows))))
-        edges = [(i, place[p]) for i, p in enumerate(rows["parent"].tolist()) if p in place]
-        at = rows[["x", "y", "z"]].to_numpy("<f4") * np.float32(resolution)
-        data = struct.pack("<2I", len(rows), len(edges)) + at.astype("<f4").tobytes() + np.array(edges, "<u4").tobytes()
-        return pd.DataFrame([(k[0], data)], columns=[key, "buffer"])
+    def made(nodes: list, parents: list, at: list[np.ndarray]) -> bytes:
+        place = dict(zip(nodes, range(len(nodes))))
+        edges = [(i, place[p]) for i, p in enumerate(parents) if p in place]
+        return struct.pack("<2I", len(nodes), len(edges)) + (np.concatenate(at) * np.float32(resolution)).astype("<f4").tobytes() + np.array(edges, "<u4").tobytes()
 
-    return skeletons.select(F.col(key).cast("long").alias(key), "node", "x", "y", "z", "parent").groupBy(key).applyInPandas(run, f"`{key}` long, buffer binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, parents, at = None, [], [], []  # a skeleton that may go on in the next batch
+        for b in batches:
+            keys, own, up = (b.column(k).to_pylist() for k in range(3))
+            xyz = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype("<f4") for k in (3, 4, 5)], axis=1)
+            starts = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+            out = []
+            for i, j in zip(starts, [*starts[1:], len(keys)]):
+                if nodes and keys[i] != last:
+                    out.append((last, made(nodes, parents, at)))
+                    nodes, parents, at = [], [], []
+                last = keys[i]
+                nodes += own[i:j]
+                parents += up[i:j]
+                at.append(xyz[i:j])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], names=[key, "buffer"])
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([made(nodes, parents, at)], pa.binary())], names=[key, "buffer"])
+
+    rows = skeletons.select(F.col(key).cast("long").alias(key), "node", "parent", "x", "y", "z")
+    return rows.repartition(key).sortWithinPartitions(key, F.asc_nulls_last("node")).mapInArrow(run, f"`{key}` long, buffer binary")
 
 
 def decode_skeletons(buffers: DataFrame, key: str = "body") -> DataFrame:
     """(key, node, x, y, z, parent) of buffers; positions stay in nanometres, nodes count from 0, roots have the parent -1. One of another length raises ValueError in its task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        keys, at, parents = zip(*held)
+        n = [len(p) for p in parents]
+        at = np.concatenate(at)
+        arrays = [pa.array(keys, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate([np.arange(v) for v in n])), *(pa.array(np.ascontiguousarray(at[:, c])) for c in range(3)), pa.array(np.concatenate(parents))]
+        return pa.RecordBatch.from_arrays(arrays, names=[key, "node", "x", "y", "z", "parent"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, data in zip(b[key], b["buffer"]):
-                data = bytes(data)
+            held, size = [], 0
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, m = struct.unpack_from("<2I", data) if len(data) >= 8 else (0, 0)
                 if len(data) < 8 or len(data) != 8 + 12 * n + 8 * m:
                     raise ValueError(f"skeleton buffer of {len(data)} bytes is malformed, or has attributes of its vertices")
@@ -45,9 +73,15 @@ def decode_skeletons(buffers: DataFrame, key: str = "body") -> DataFrame:
                 edges = np.frombuffer(data, "<u4", 2 * m, 8 + 12 * n).reshape(-1, 2)
                 parent = np.full(n, -1, np.int64)
                 parent[edges[:, 0]] = edges[:, 1]
-                yield pd.DataFrame({key: k, "node": np.arange(n), "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "parent": parent})
-
-    return buffers.select(key, "buffer").mapInPandas(run, f"`{key}` long, node long, x float, y float, z float, parent long")
+                held.append((k, at, parent))
+                size += n
+                if size >= ROWS:
+                    yield rows(held)
+                    held, size = [], 0
+            if held:
+                yield rows(held)
+
+    return buffers.select(F.col(key).cast("long").alias(key), F.col("buffer").cast("binary").alias("buffer")).mapInArrow(run, f"`{key}` long, node long, x float, y float, z float, parent long")
 
 
 _PROPERTIES = "inline struct<ids:array<string>, properties:array<struct<id:string, type:string, data_type:string, values:array<string>, tags:array<string>>>>"
