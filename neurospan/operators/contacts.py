@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .geometry import downsample, split_runs
-from .graph import settle
+from .geometry import dealt, downsample, split_runs
+from .graph import settle, _spread_join
 
 AXES = ("z", "y", "x")
 _FACES = [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, 0, 1), (0, 1, 0), (1, 0, 0)]  # in scan order
@@ -24,19 +24,25 @@ def grid_split_plan(runs: DataFrame, first: int, last: int, key: str = "sv") ->
     ratio = first // last if last > 0 else 0
     if ratio < 1 or ratio * last != first or ratio & (ratio - 1):
         raise ValueError("the coarse grid must be the fine one times a power of 2")
-    fine = split_runs(runs.select(key, "z", "y", "x0", "x1"), last)
-    cells = settle(fine.groupBy(key, "bz", "by", "bx").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("voxels")))  # a cell of a coarser grid is made of these
-    plan = None
+    fine = settle(split_runs(runs.select(key, "z", "y", "x0", "x1"), last))
+    cells = settle(dealt(fine, key, "bz", "by", "bx").groupBy(key, "bz", "by", "bx").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("voxels")))  # a cell of a coarser grid is made of these
+    n, plan = cells.count(), None
     grid = first
     while grid >= last:
         factor = grid // last
         up = lambda n: [F.floor(F.col(f"b{a}") / n).cast("long") for a in AXES]
-        own = cells.select(key, *(v.alias(f"b{a}") for a, v in zip(AXES, up(factor))), "voxels").groupBy(key, "bz", "by", "bx").agg(F.sum("voxels").alias("voxels"))
-        parent = [] if grid == first else [v.alias(f"_p{a}") for a, v in zip(AXES, up(2))]
-        rows = own.select("*", *parent)
-        whole = Window.partitionBy(key, *(f"_p{a}" for a in AXES if parent))
         at = F.struct("bz", "by", "bx")
-        rows = rows.select(key, F.lit(grid).alias("grid"), "bz", "by", "bx", "voxels", F.sum("voxels").over(whole).alias("parent_voxels"), (at == F.max(at).over(whole)).alias("remains"))
+        if grid == first:  # the parent of all cells of a key is the key
+            moved = cells.select(key, *(v.alias(f"b{a}") for a, v in zip(AXES, up(factor))), "voxels")
+            own = settle(dealt(moved, key, "bz", "by", "bx", n=n).groupBy(F.struct(key).alias("_k"), "bz", "by", "bx").agg(F.sum("voxels").alias("voxels")))
+            whole = own.groupBy("_k").agg(F.sum("voxels").alias("parent_voxels"), F.max(at).alias("_last"))
+            rows = _spread_join(own, whole, "_k").select(f"_k.{key}", F.lit(grid).alias("grid"), "bz", "by", "bx", "voxels", "parent_voxels", (at == F.col("_last")).alias("remains"))
+        else:
+            parent = [f"_p{a}" for a in AXES]
+            moved = cells.select(key, *(v.alias(p) for p, v in zip(parent, up(2 * factor))), *(v.alias(f"b{a}") for a, v in zip(AXES, up(factor))), "voxels")
+            own = dealt(moved, key, *parent, n=n).groupBy(key, *parent, "bz", "by", "bx").agg(F.sum("voxels").alias("voxels"))
+            whole = Window.partitionBy(key, *parent)  # 8 cells at most
+            rows = own.select(key, F.lit(grid).alias("grid"), "bz", "by", "bx", "voxels", F.sum("voxels").over(whole).alias("parent_voxels"), (at == F.max(at).over(whole)).alias("remains"))
         plan = rows if plan is None else plan.unionByName(rows)
         grid //= 2
     return plan
