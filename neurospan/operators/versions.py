@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import ancestors, roots
+from .geometry import dealt
+from .graph import ancestors, roots, settle
 
 MAIN = "master"
 LONGEST = 64  # characters of an id
@@ -71,7 +72,7 @@ def lock_dates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ref, uuid) of references: ids or beginnings of one id, else a branch's newest node; 'repo:' may stand
     before a branch and '~n' after it for the n-th before the newest. What can't be resolved has a null."""
-    own = refs.select("ref").distinct()
+    own, nodes = settle(dealt(refs.select("ref").distinct(), "ref")), settle(dealt(nodes, "uuid"))  # both are read often
     lengths = own.select(F.length("ref").alias("k")).where(f"k BETWEEN 1 AND {LONGEST}").distinct()
     starts = nodes.select("uuid").crossJoin(F.broadcast(lengths)).select(F.substring("uuid", F.lit(1), F.col("k")).alias("ref"), "uuid").distinct()
     by_id = own.join(starts, "ref").groupBy("ref").agg(F.min("uuid").alias("_id"), F.count("*").alias("n")).where("n = 1").drop("n")
@@ -105,14 +106,15 @@ def resolve_ranges(ranges: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     What is malformed, names unknown nodes, or whose first isn't above its last, gets one row without a uuid;
     a range that leaves all out gets none.
     """
-    parts = ranges.select("range").distinct().select("range", *_parsed(F.col("range")))
+    parts = settle(dealt(ranges.select("range").distinct(), "range").select("range", *_parsed(F.col("range"))))
+    nodes, edges = settle(dealt(nodes, "uuid")), settle(dealt(edges, "uuid"))
     good = parts.where("kind IS NOT NULL")
     refs = good.select(F.col("last").alias("ref")).union(good.where("first != 'root'").select("first"))
-    named = resolve(refs, nodes, edges)
+    named = settle(resolve(refs, nodes, edges))
     first, last = named.toDF("first", "a"), named.toDF("last", "b")
-    ends = parts.join(last, "last", "left").join(first, "first", "left")
+    ends = settle(parts.join(last, "last", "left").join(first, "first", "left"))
     up = ancestors(edges, ends.where("kind = 'range' AND b IS NOT NULL").select(F.col("b").alias("node")), "uuid", "parent").select(F.col("start").alias("b"), F.col("node").alias("uuid"))
-    listed = up.join(nodes.select("uuid", "version"), "uuid").withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy("version", "uuid")) - 1)
+    listed = settle(up.join(nodes.select("uuid", "version"), "uuid").select("b", "uuid", (F.row_number().over(Window.partitionBy("b").orderBy("version", "uuid")) - 1).alias("at")))
     counts = listed.groupBy("b").agg(F.max("at").alias("stop"))
     ends = ends.join(counts, "b", "left").join(listed.select("b", F.col("uuid").alias("a"), F.col("at").alias("start")), ["b", "a"], "left")
     start = F.when(F.col("first") == "root", F.lit(0)).otherwise(F.col("start"))
